@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality_rules, secret_scan, word_pieces
+from . import decontaminate, hilbert, packing, quality_rules, secret_scan, token_files, word_pieces
 from .common import load
 from .encoding import vocabulary
 
@@ -17,10 +18,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_pieces.token_counts(load(spark, sf_dir, "documents"), vocabulary(VOCABULARY))
 
 
+def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.assign(load(spark, sf_dir, "documents"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(load(spark, sf_dir, "documents"), vocabulary(VOCABULARY))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(load(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", listed, "contaminated")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), vocabulary(VOCABULARY))
 
@@ -31,9 +46,36 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_hilbert_shards": op2_hilbert_shards,
+    "op4_token_files": op4_token_files,
     "op6_secret_scan": op6_secret_scan,
+    "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Fixed values of op7 in SQL: words are runs of 0-9, a-z and anything beyond ASCII.
+OP7 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+           FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM benchmark),
+lens AS (SELECT DISTINCT least(len(w), 13) AS l FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, least(len(w), 13) AS l, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS s
+        FROM b, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS u(i) WHERE len(w) > 0),
+pos AS (SELECT r, l, i, array_to_string(w[i : i + l - 1], ' ') AS s
+        FROM d, lens, unnest(range(1, greatest(len(w) - l + 1, 0) + 1)) AS u(i)),
+occ AS (SELECT r, i, l, item_id FROM pos JOIN win USING (l, s)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM occ, unnest(range(i, i + l)) AS v(p) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, sha256(string_agg(k, ',' ORDER BY k)) AS h
+        FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS k FROM occ) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(h, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_decontamination": OP7,
+}
