@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, packing, quality_rules, secret_scan, token_files, word_pieces
+from . import decontaminate, hilbert, packing, quality_model, quality_rules, secret_scan, token_files, word_pieces
 from .common import load
 from .encoding import vocabulary
 
@@ -22,6 +22,11 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.assign(load(spark, sf_dir, "documents"))
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return quality_model.scored(docs, quality_model.train(docs, load(spark, sf_dir, "labels")))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(load(spark, sf_dir, "documents"), vocabulary(VOCABULARY))
 
@@ -47,6 +52,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_hilbert_shards": op2_hilbert_shards,
+    "op3_quality_model": op3_quality_model,
     "op4_token_files": op4_token_files,
     "op6_secret_scan": op6_secret_scan,
     "op7_decontamination": op7_decontamination,
