@@ -29,20 +29,33 @@ def shown_bytes() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Memory(dict):
+    """Chunks' ids, computed at the first look-up and kept unless the chunk is long."""
+
+    def __init__(self, compute, longest: int):
+        self.compute, self.longest = compute, longest
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.compute(chunk)
+        if len(chunk) <= self.longest:
+            self[chunk] = ids
+        return ids
+
+
 class ChunkEncoder:
     """`encode(texts)` gives each text's ids as little-endian unsigned 32-bit bytes.
 
-    `remember` bounds the chunks kept; the longest kept chunk has `longest` characters.
+    Up to `remember` chunks and those of one call are kept; the longest kept has `longest` characters.
     """
 
-    def __init__(self, path: str, remember: int = 400_000, longest: int = 48):
+    def __init__(self, path: str, remember: int = 1_000_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.remember, self.longest = remember, longest
-        self.known: dict[str, bytes] = {}
+        self.remember = remember
+        self.known = Memory(self._chunk, longest)
         self.shown = shown_bytes()
         self.splits = all(self._whole(t) == b"".join(map(self._chunk, CHUNKS.findall(t))) for t in PROBES)
 
@@ -61,18 +74,11 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.splits:
             return [self._whole(t) if t else b"" for t in texts]
-        known = self.known
-        chunks = [CHUNKS.findall(t) if t else [] for t in texts]
-        new = {c for one in chunks for c in one if c not in known}
-        if len(known) + len(new) > self.remember:
-            known.clear()
-            new = {c for one in chunks for c in one}
-        known.update((c, self._chunk(c)) for c in new)
-        out = [b"".join([known[c] for c in one]) for one in chunks]
-        for c in new:
-            if len(c) > self.longest:
-                del known[c]
-        return out
+        if len(self.known) > self.remember:
+            self.known.clear()
+        get, find = self.known.__getitem__, CHUNKS.findall
+        # Lower-casing ASCII first, as the file does later, makes fewer distinct chunks; "|" begins special tokens.
+        return [b"".join(map(get, find(t.lower() if t.isascii() and "|" not in t else t))) if t else b"" for t in texts]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
