@@ -28,6 +28,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder; it goes when the application ends."""
+    ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "/tmp/lucidoc-checkpoints"
@@ -87,6 +88,7 @@ def per_document(df: DataFrame, function: Callable[[list], dict], schema: str, k
             arrays += [pa.array(made[f.name], f.type) for f in arrow[len(keys) :]]
             yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(arrow))
 
+    ship(df.sparkSession)
     base = df.select(*keys, F.col("text").cast("string").alias("text"))
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string

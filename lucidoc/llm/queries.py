@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, packing, quality_model, quality_rules, secret_scan, token_files, word_pieces
+from . import decontaminate, hilbert, near_dup, packing, quality_model, quality_rules, secret_scan, token_files, word_pieces
 from .common import load
 from .encoding import vocabulary
 
@@ -31,6 +31,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(load(spark, sf_dir, "documents"), vocabulary(VOCABULARY))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(load(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(load(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_quality_model": op3_quality_model,
     "op4_token_files": op4_token_files,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_secret_scan": op6_secret_scan,
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
