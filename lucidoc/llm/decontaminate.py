@@ -82,7 +82,8 @@ def matches(docs: DataFrame, shingles: DataFrame, few: bool, widths: list[int])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (their ids as sorted strings) and contaminated, for each row of `docs`.
+    """doc_id, hashes of id and text, n_words, n_hit, n_items, items (their ids as sorted strings) and
+    contaminated, for each row of `docs`.
 
     A word is hit if it stands inside an occurrence of an item's window; a document with a hit is contaminated when 20 * n_hit >= n_words. Null and empty texts have no
     words and are clean; items without words match nothing; items with a null id hit words but aren't
@@ -134,9 +135,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     n_hit = F.coalesce("n_hit", F.lit(0))
     return joined.select(
         "doc_id",
+        *KEY,
         F.col("n_words").cast("long").alias("n_words"),
         n_hit.alias("n_hit"),
         F.coalesce(F.size("items").cast("long"), F.lit(0)).alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns."""
+    bad = contamination(docs, benchmark, window).filter("contaminated").select(F.col("k1").alias("bad_1"), F.col("k2").alias("bad_2")).distinct()
+    bad = stored(bad, scratch(docs.sparkSession), "contaminated")
+    few = bad.count() <= 200_000  # 16 bytes each
+    same = (F.xxhash64("doc_id") == F.col("bad_1")) & (F.xxhash64(F.lit("t"), "text") == F.col("bad_2"))
+    return docs.join(F.broadcast(bad) if few else bad, same, "left_anti")

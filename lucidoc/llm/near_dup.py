@@ -224,8 +224,10 @@ class NearDuplicates:
     def near_sizes(self, na: str, nb: str):
         return (100 * F.least(na, nb) >= self.percent * F.greatest(na, nb))
 
-    def run(self) -> DataFrame:
-        sketched = self.keep(per_document(self.docs, partial(_sketches, self.size), "n long, sig binary, regs binary"), "sketched")
+    def run(self) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, h, n, sig) of each row, h being a hash of its text, and (sig, nid, least, label, component_id) of each class."""
+        rows = self.docs.withColumn("h", F.xxhash64("text"))
+        sketched = self.keep(per_document(rows, partial(_sketches, self.size), "n long, sig binary, regs binary", ("doc_id", "h")), "sketched")
         some = sketched.filter(F.col("n") > 0)
         classes = some.groupBy("sig", "n").agg(F.min("doc_id").alias("least"), F.min("regs").alias("regs"))
         nodes = self.keep(classes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
@@ -262,16 +264,10 @@ class NearDuplicates:
 
         least = labels.join(nodes.select("nid", "least"), "nid")
         roots = least.groupBy("label").agg(F.min("least").alias("component_id"))
-        linked = least.join(roots, "label").join(nodes.select("nid", "sig"), "nid").select("sig", "component_id")
-        of_class = nodes.select("sig", "least").join(linked, "sig", "left").select("sig", F.coalesce("component_id", "least").alias("component_id"))
-        out = sketched.select("doc_id", "n", "sig").join(of_class, "sig", "left")
-        component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-        return out.select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            component.alias("component_id"),
-            F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
-        )
+        linked = least.join(roots, "label").select("nid", "label", "component_id")
+        of_class = nodes.select("sig", "nid", "least").join(linked, "nid", "left")
+        of_class = of_class.select("sig", "nid", "least", F.coalesce("label", "nid").alias("label"), F.coalesce("component_id", "least").alias("component_id"))
+        return sketched.select("doc_id", "h", "n", "sig"), self.keep(of_class, "classes")
 
     def shingle_sets(self, picked: DataFrame) -> DataFrame:
         """nid and set of each picked class, from its least document's text.
@@ -351,4 +347,37 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     nothing. Repeated rows are equal texts; a null id is no component's name unless alone, and isn't kept. An
     empty table gives no rows; other columns are ignored.
     """
-    return NearDuplicates(docs, shingle, percent).run()
+    rows, classes = NearDuplicates(docs, shingle, percent).run()
+    out = rows.join(classes.select("sig", "component_id"), "sig", "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
+    )
+
+
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The documents with one row of each group, that of the least doc_id, and all rows without words.
+
+    Where several rows share that id, the one with the least text hash stays, and of rows equal in
+    both one. All columns stay as they are.
+    """
+    rows, classes = NearDuplicates(docs, shingle, percent).run()
+    best = classes.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), "least", "nid")).alias("best")).select(F.col("best.nid").alias("nid"))
+    best = classes.join(best, "nid", "left_semi").select("sig", "least")
+    worded = rows.filter(F.col("n") > 0)
+    of_best = worded.join(best, "sig").filter(F.col("doc_id").eqNullSafe(F.col("least")))
+    stay = of_best.groupBy("sig", F.col("doc_id").alias("stay_id")).agg(F.min("h").alias("stay_h"))
+    marked = worded.join(stay, "sig", "left").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("stay_id")) & F.col("h").eqNullSafe(F.col("stay_h")))
+    marked = marked.withColumn("stays", F.coalesce("stays", F.lit(False)))
+    gone = stored(marked.filter(~F.col("stays")).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct(), scratch(docs.sparkSession), "gone")
+    few = gone.count() <= 200_000  # 16 bytes each
+    names = [f"`{c}`" for c in docs.columns]
+    text = F.xxhash64(F.col("text").cast("string"))
+    left = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (text == F.col("gone_h")), "left_anti").select(*names)
+    if marked.filter("stays").groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
+        return left
+    empty = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    return left.filter(~empty).dropDuplicates(["doc_id", "text"]).unionByName(left.filter(empty))

@@ -1,0 +1,290 @@
+"""Personal data by weak supervision.
+
+1. Candidates: each kind has patterns, wide ones included. Base candidates (strict pattern and its check)
+   always are spans. Offsets come from the lengths of a text's pieces between matches.
+2. Labelers vote yes (1), no (0) or abstain (-1) on a candidate: its shape (pattern and checks), a gazetteer
+   (domains, country codes, issuer prefixes), words before it, and the characters on either side.
+3. Expectation-maximisation over the counts of vote patterns estimates each labeler's reliability and each
+   kind's share of true candidates, hence a probability for each pattern.
+4. A logistic classifier of candidates by kind, length, neighbours and votes is trained on those
+   probabilities; other candidates it accepts become spans too.
+
+Texts are read once, by built-in functions only. Vote and feature patterns are few by construction
+(at most some thousands of combinations), so the driver fits both models on their counts.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import scratch, stored
+
+KINDS = ("email", "ip", "card", "phone", "ssn")
+LOCAL = "A-Za-z0-9._%+-"
+#: Possessive quantifiers change no match here, as nothing that follows could use what they hold; they keep
+#: the matcher from recursing. A look-behind or the end of the last match spares starts inside a run.
+EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
+CARD = r"[0-9](?:[\x20-]?[0-9])++"
+PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+WORDED_EMAIL = rf"(?i)(?<![{LOCAL}])[{LOCAL}]++\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[A-Za-z0-9-]++)++"
+LOCAL_PHONE = r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
+SSN = r"(?<![0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9.-])"
+
+#: Gazetteers and context words of the labelers.
+DOMAIN_ENDS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk")
+COUNTRY_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "82", "86", "91")
+HINTS = {
+    "email": "mail|contact|write|reach|from:|to:",
+    "ip": r"\bip\b|address|host|server|login|client|connect",
+    "card": "card|visa|master|amex|credit|payment|account|konto|carte|tarjeta",
+    "phone": "phone|call|tel|fax|mobile|contact|reach|anruf",
+    "ssn": r"ssn|social|security|tax",
+}
+AGAINST = r"version|release|isbn|issn|order|invoice|serial|section|figure|page|\bno\.|part number"
+#: Votes a candidate gets, in the order of its `votes` array.
+LABELERS = ("shape", "gazetteer", "context", "edges")
+#: For each labeler: yes when true, yes when false, and the votes these weigh.
+PRIOR = ((0.995, 0.02, 1000), (0.8, 0.4, 10), (0.8, 0.3, 10), (0.9, 0.5, 10))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, for expressions that name it more than once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(lengths: Column, block: int = 256) -> Column:
+    """Sums of the elements before each element, and of all at last. Folds run by block, so long arrays cost no square."""
+    zero = F.array(F.lit(0).cast("long"))
+    n = F.size(lengths)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: F.slice(lengths, b * block + 1, block))
+    add = lambda done, v: F.concat(done, F.array(F.element_at(done, -1) + v))
+    inner = F.transform(blocks, lambda x: F.aggregate(x, zero, add))
+
+    def joined(parts: Column) -> Column:
+        starts = F.aggregate(parts, zero, lambda done, p: F.concat(done, F.array(F.element_at(done, -1) + F.element_at(p, -1))))
+        whole = lambda s: F.flatten(F.zip_with(parts, F.slice(s, 1, F.size(parts)), lambda p, o: F.transform(F.slice(p, 1, F.size(p) - 1), lambda v: v + o)))
+        return bound(starts, whole)
+
+    return bound(inner, joined)
+
+
+def found(text: Column, pattern: str, guard: Column) -> Column:
+    """Leftmost non-overlapping matches as (start, end, match), code points, end exclusive."""
+    none = F.array().cast("array<struct<start:long,end:long,match:string>>")
+
+    def located(pieces: Column, matches: Column) -> Column:
+        lengths = F.flatten(F.zip_with(pieces, matches, lambda p, m: F.array(F.length(p).cast("long"), F.coalesce(F.length(m), F.lit(0)).cast("long"))))
+        place = lambda sums: F.transform(matches, lambda m, i: F.struct(F.get(sums, 2 * i + 1).alias("start"), (F.get(sums, 2 * i + 1) + F.length(m)).alias("end"), m.alias("match")))
+        return bound(running(lengths), place)
+
+    whole = bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, none).otherwise(bound(F.split(text, pattern, -1), lambda p: located(p, m))))
+    return F.when(guard, whole).otherwise(none)
+
+
+def digits(match: Column) -> Column:
+    return F.regexp_replace(match, "[^0-9]", "")
+
+
+def luhn(number: Column) -> Column:
+    """Whether a string of digits has a Luhn sum that ends in 0."""
+    n = F.length(number)
+
+    def add(total: Column, i: Column) -> Column:
+        d = F.ascii(number.substr(n - i + 1, F.lit(1))) - 48
+        return total + F.when(i % 2 == 1, d).when(d > 4, 2 * d - 9).otherwise(2 * d)
+
+    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0
+
+
+def valid_card(match: Column) -> Column:
+    return bound(digits(match), lambda d: F.when(F.length(d).between(13, 19), luhn(d)).otherwise(F.lit(False)))
+
+
+def valid_ip(match: Column) -> Column:
+    part = lambda p: bound(F.ltrim(p, F.lit("0")), lambda q: F.when(F.length(q) <= 3, F.concat(F.lit("0"), q).cast("int") <= 255).otherwise(F.lit(False)))
+    return F.forall(F.split(match, r"\."), part)
+
+
+def valid_phone(match: Column) -> Column:
+    return F.length(digits(match)).between(9, 15)
+
+
+def vote(yes: Column, no: Column | None = None) -> Column:
+    """1 for yes, 0 for no; without `no` what isn't yes is no, with it the rest abstains."""
+    out = F.when(yes, 1)
+    return (out.otherwise(0) if no is None else out.when(no, 0).otherwise(-1)).cast("int")
+
+
+def gazetteer(kind: str, match: Column) -> Column:
+    if kind == "email":
+        return vote(F.lower(match).rlike(rf"(?:\.|dot\s?[\])]\s?)(?:{'|'.join(DOMAIN_ENDS)})$"), F.lit(False))
+    if kind == "ip":
+        return vote(match.rlike(r"^(?:10|127|172|192)\."), match.rlike(r"^0"))
+    if kind == "card":
+        return vote(digits(match).rlike("^[3-6]"))
+    if kind == "phone":
+        return vote(match.rlike(rf"^\+(?:{'|'.join(COUNTRY_CODES)})"), match.rlike("^[01]"))
+    return vote(~match.rlike("^(?:000|666|9)"))
+
+
+def described(text: Column, kind: str, base: Callable, shape: Callable) -> Callable[[Column], Column]:
+    """What makes a candidate of a match in a text."""
+    word = "[\\p{L}\\p{N}_]"
+
+    def side(x: Column) -> Column:
+        return F.when(x.rlike(word), "w").when(x.rlike("\\S"), "p").otherwise("s")
+
+    def described_match(c: Column) -> Column:
+        m = c["match"]
+        first = F.greatest(c["start"] - 39, F.lit(1)).cast("int")
+        prior = F.lower(text.substr(first, (c["start"] + 1 - first).cast("int")))
+        before = text.substr(c["start"].cast("int"), F.when(c["start"] > 0, 1).otherwise(0))
+        after = text.substr((c["end"] + 1).cast("int"), F.lit(1))
+        edges = vote(~before.rlike(word) & ~after.rlike(word))
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            c["start"].alias("start"),
+            c["end"].alias("end"),
+            base(m).alias("base"),
+            F.array(vote(shape(m)), gazetteer(kind, m), vote(prior.rlike(HINTS[kind]), prior.rlike(AGAINST)), edges).alias("votes"),
+            side(before).alias("before"),
+            side(after).alias("after"),
+            F.least(F.floor(F.length(m) / 5), F.lit(6)).cast("int").alias("size"),
+        )
+
+    return described_match
+
+
+def candidates(text: Column) -> Column:
+    """All candidates of a text as (kind, start, end, base, votes, before, after, size)."""
+    has_digit = text.rlike("[0-9]")
+    low_at = text.rlike(r"(?i)[\[(]\x20?at\x20?[\])]")
+    yes = lambda m: F.lit(True)
+    no = lambda m: F.lit(False)
+    # kind, pattern, guard, whether a match is base, whether its shape is right
+    sources = [
+        ("email", EMAIL, F.contains(text, F.lit("@")), yes, yes),
+        ("ip", IP, has_digit, valid_ip, valid_ip),
+        ("card", CARD, has_digit, valid_card, valid_card),
+        ("phone", PHONE, F.contains(text, F.lit("+")), valid_phone, valid_phone),
+        ("email", WORDED_EMAIL, low_at, no, yes),
+        ("phone", LOCAL_PHONE, has_digit, no, yes),
+        ("ssn", SSN, has_digit, no, lambda m: ~m.rlike("-00-|-0000$")),
+    ]
+    parts = []
+    for kind, pattern, guard, base, shape in sources:
+        # A run of digits that can be no card number is no candidate at all.
+        worth = (lambda c: F.length(digits(c["match"])).between(13, 19)) if kind == "card" else (lambda c: F.lit(True))
+        parts.append(F.transform(F.filter(found(text, pattern, guard), worth), described(text, kind, base, shape)))
+    return F.concat(*parts)
+
+
+def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 60) -> tuple[dict, dict, list]:
+    """EM over (kind, votes, count): probabilities by (kind, votes), shares by kind, reliabilities by labeler
+    as (yes when true, yes when false) among votes that aren't abstentions.
+
+    PRIOR is where reliabilities start, and weighs as many imagined votes as it says; the checks behind the shape
+    labeler (digits' sum, range) hold by definition, so that prior is strong."""
+    share = dict.fromkeys({k for k, _, _ in patterns}, 0.7)
+    rely = [(a, b) for a, b, _ in PRIOR]
+    true: dict = {}
+    for _ in range(rounds):
+        for kind, votes, _ in patterns:
+            yes, no = math.log(share[kind]), math.log(1 - share[kind])
+            for v, (a, b) in zip(votes, rely):
+                if v >= 0:
+                    yes, no = yes + math.log(a if v else 1 - a), no + math.log(b if v else 1 - b)
+            true[kind, votes] = 1 / (1 + math.exp(min(60.0, no - yes)))
+        for kind in share:
+            own = [(true[k, v], n) for k, v, n in patterns if k == kind]
+            share[kind] = (7 + sum(p * n for p, n in own)) / (10 + sum(n for _, n in own))
+        rely = []
+        for i in range(len(LABELERS)):
+            cast = [(true[k, v], v[i], n) for k, v, n in patterns if v[i] >= 0]
+            a0, b0, m = PRIOR[i]
+            a = (a0 * m + sum(p * n for p, v, n in cast if v)) / (m + sum(p * n for p, _, n in cast))
+            b = (b0 * m + sum((1 - p) * n for p, v, n in cast if v)) / (m + sum((1 - p) * n for p, _, n in cast))
+            rely.append((a, b))
+    return true, share, rely
+
+
+def named(kind: str, votes: tuple[int, ...], before: str, after: str, size: int) -> list[str]:
+    """Features of a candidate."""
+    return ["bias", f"kind={kind}", f"{kind}:size={size}", f"before={before}", f"after={after}", *[f"{n}={v}" for n, v in zip(LABELERS, votes)]]
+
+
+def classifier(rows: list[tuple[list[str], float, int]], steps: int = 400, rate: float = 1.0, decay: float = 1e-4) -> dict[str, float]:
+    """Weights of a logistic regression on (features, probability, count), by gradient descent.
+
+    True and false candidates weigh the same in all, however rare the false ones are."""
+    weights = dict.fromkeys([f for features, _, _ in rows for f in features], 0.0)
+    yes = sum(p * n for _, p, n in rows) or 1.0
+    no = sum((1 - p) * n for _, p, n in rows) or 1.0
+    for _ in range(steps):
+        slope = dict.fromkeys(weights, 0.0)
+        for features, p, n in rows:
+            guess = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(weights[f] for f in features)))))
+            pull = n * (guess * (1 - p) / no - (1 - guess) * p / yes)
+            for f in features:
+                slope[f] += pull
+        for f in weights:
+            weights[f] -= rate * (slope[f] + decay * weights[f])
+    return weights
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """doc_id and `spans`, an array of (kind_no, start, end, kind, base) by kind as listed, then start.
+
+    Null and empty texts have none. Repeated rows are scanned each; an empty table gives no rows (and no
+    models); other columns are ignored. Base candidates are always in; others if the classifier
+    gives them an even chance and they overlap no base span.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    located = stored(docs.select("doc_id", candidates(text).alias("found")), scratch(docs.sparkSession), "candidates")
+    each = located.select(F.explode("found").alias("c")).select("c.kind", "c.votes", "c.before", "c.after", "c.size")
+    counts = [(r[0], tuple(r[1]), r[2], r[3], r[4], r[5]) for r in each.groupBy("kind", "votes", "before", "after", "size").agg(F.count("*")).orderBy("kind", "votes", "before", "after", "size").collect()]
+    patterns: dict = {}
+    for kind, votes, *_, n in counts:
+        patterns[kind, votes] = patterns.get((kind, votes), 0) + n
+    true, _, _ = estimate([(k, v, n) for (k, v), n in patterns.items()])
+    weights = classifier([(named(k, v, b, a, s), true[k, v], n) for k, v, b, a, s, n in counts])
+
+    table = F.create_map(*[x for f, w in sorted(weights.items()) for x in (F.lit(f), F.lit(w))]) if weights else None
+    weight = lambda name: F.coalesce(F.try_element_at(table, name), F.lit(0.0)) if table is not None else F.lit(0.0)
+
+    def score(c: Column) -> Column:
+        names = [
+            F.lit("bias"),
+            F.concat(F.lit("kind="), c["kind"]),
+            F.concat(c["kind"], F.lit(":size="), c["size"].cast("string")),
+            F.concat(F.lit("before="), c["before"]),
+            F.concat(F.lit("after="), c["after"]),
+            *[F.concat(F.lit(f"{n}="), F.get(c["votes"], F.lit(i)).cast("string")) for i, n in enumerate(LABELERS)],
+        ]
+        return sum((weight(n) for n in names[1:]), weight(names[0]))
+
+    numbers = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
+    split = located.select("doc_id", F.filter("found", lambda c: c["base"]).alias("base"), F.filter("found", lambda c: ~c["base"]).alias("wide"))
+    apart = lambda c: ~F.exists("base", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"]))
+    added = split.withColumn("wide", F.filter("wide", lambda c: apart(c) & (score(c) >= 0)))
+    shaped = F.transform(
+        F.concat("base", "wide"), lambda c: F.struct(F.element_at(numbers, c["kind"]).alias("kind_no"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["base"].alias("base"))
+    )
+    return added.select("doc_id", F.array_sort(shaped).alias("spans"))
+
+
+def digest(docs: DataFrame) -> DataFrame:
+    """doc_id, counts of base spans by kind, the SHA-256 of their list, and the list of all spans."""
+    listed = lambda x: F.array_join(F.transform(x, lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda c: c["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda c: c["base"] & (c["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS[:4]]
+    return spans(docs).select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

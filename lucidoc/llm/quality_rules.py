@@ -14,9 +14,11 @@ from collections.abc import Callable
 from functools import cached_property, partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import BLANKS, WORDS, per_document
 
 SYMBOLS = "#*$%&|<>"
@@ -143,14 +145,12 @@ def measure(docs: DataFrame, rules: dict = RULES) -> DataFrame:
 
 def filtered(docs: DataFrame, rules: dict = RULES) -> DataFrame:
     """The rows of documents that no rule rejects, with all their columns."""
-
+    ship(docs.sparkSession)
     order = plan(docs, rules)
     at = docs.columns.index("text")
     schema = docs.schema
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             keep = [verdict(TextView(t), order, rules) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))

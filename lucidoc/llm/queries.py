@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, near_dup, packing, quality_model, quality_rules, secret_scan, token_files, word_pieces
+from . import decontaminate, hilbert, near_dup, packing, pii, quality_model, quality_rules, secret_scan, token_files, word_pieces
 from .common import load
 from .encoding import vocabulary
 
@@ -53,6 +53,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(load(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_hilbert_shards": op2_hilbert_shards,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_pii": op10_pii,
 }
 
 #: Fixed values of op7 in SQL: words are runs of 0-9, a-z and anything beyond ASCII.

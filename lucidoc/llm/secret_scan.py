@@ -15,8 +15,10 @@ import re
 import zlib
 from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..shipping import ship
 from .common import per_document
 
 KINDS = ("assign", "access", "hex")
@@ -223,8 +225,7 @@ def mask(text: str | None, fill: str = "[SECRET]") -> str | None:
 def masked(docs: DataFrame, fill: str = "[SECRET]") -> DataFrame:
     """Documents with their secrets replaced and, where there is one, n_chars brought up to date;
     all rows and other columns stay as they are."""
-    import pyarrow as pa
-
+    ship(docs.sparkSession)
     names, schema = docs.columns, docs.schema
 
     def run(batches):
