@@ -11,9 +11,10 @@
    the sizes of the sets; pairs more than six standard deviations below the threshold go. The rest are verified
    on the full sets.
 4. Pairs inside a band's bucket aren't all listed. First each class is compared with the least leader of its
-   buckets, then with the leaders of buckets that still hold several components, and at last, in such buckets,
-   classes of different components with each other, without those that the metric's triangle
-   inequality over a common leader rules out. So the components are those of all links that share a band.
+   buckets, then with the leaders of buckets that still hold several components. Classes of such buckets then
+   go through an exact join: pairs of different components that share a rare enough shingle at early
+   enough places to be similar at all. So no link between components is lost there, and copies with many edits
+   of their own, or texts with only a passage in common, make no pairs.
 
 Large groups never meet in one task: buckets are reduced by partial aggregation, joined with
 their leader, and skewed joins can be split.
@@ -28,7 +29,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import FOLD, WORDS, per_document, scratch, slices, stored
@@ -188,6 +189,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (nid, token) of sets (nid, elements)."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 500):
+            part = batch.slice(start, 500)
+            sets = [np.frombuffer(x.as_buffer(), "<i8") for x in part.column(1)]
+            ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], names=["nid", "token"])
+
+
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """node and label (least node reachable) of every node of the edges (a, b).
 
@@ -248,17 +259,11 @@ class NearDuplicates:
         pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
         more = self.keep(self.verified(pairs, picked, "second"), "seen-2")
         seen = seen.unionByName(more)
-        # Third: all pairs of classes from different components of a bucket that a leader doesn't rule out.
+        # Third: what remains in buckets of several components, by an exact prefix-filtered join.
         labels = self.labels(seen, picked, "two")
-        rest = self.several(self.open(members, labels))
-        distance = seen.select(F.col("a").alias("nid"), F.col("b").alias("leader"), (1 - F.col("common") / F.col("total")).alias("d"))
-        rest = rest.join(distance, ["nid", "leader"], "left").withColumn("d", F.when(F.col("nid") == F.col("leader"), 0.0).otherwise(F.col("d")))
-        rest = self.keep(rest.join(picked.select("nid", "n"), "nid").select("key", "nid", "label", "d", "n"), "rest")
-        x, y = (rest.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("nid", "label", "d", "n")]) for s in "xy")
-        gap = 1 - self.percent / 100 + 1e-9
-        near = F.coalesce(F.abs(F.col("x_d") - F.col("y_d")) <= gap, F.lit(True)) & self.near_sizes("x_n", "y_n")
-        pairs = x.join(y, "key").filter((F.col("x_nid") > F.col("y_nid")) & (F.col("x_label") != F.col("y_label")) & near)
-        pairs = pairs.select(F.col("x_nid").alias("a"), F.col("y_nid").alias("b")).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        rest = self.several(self.open(members, labels)).select("nid", "label").distinct()
+        rest = self.keep(rest.join(picked.select("nid", "n"), "nid"), "rest")
+        pairs = self.keep(self.prefix_pairs(rest), "pairs-3").join(seen.select("a", "b"), ["a", "b"], "left_anti")
         last = self.keep(self.verified(pairs, picked, "third"), "seen-3")
         labels = self.labels(seen.unionByName(last), picked, "three")
 
@@ -269,6 +274,34 @@ class NearDuplicates:
         of_class = of_class.select("sig", "nid", "least", F.coalesce("label", "nid").alias("label"), F.coalesce("component_id", "least").alias("component_id"))
         return sketched.select("doc_id", "h", "n", "sig"), self.keep(of_class, "classes")
 
+    def prefix_pairs(self, rest: DataFrame) -> DataFrame:
+        """Pairs (a, b) of classes with different labels that may be similar, by prefix and position.
+
+        A set's shingles are ordered by rarity among these classes. Similar sets share a shingle early
+        in both: after the first one they share, each must still have room for the overlap they need. Shingles
+        that only one set has come first and can't be shared, so they only shift positions.
+        For each shingle, classes outside its commonest label meet the others; those inside never meet.
+        """
+        explode = self.sets.join(rest.select("nid"), "nid", "left_semi").select("nid", "elements").mapInArrow(_elements, "nid long, token long")
+        tokens = self.keep(explode, "tokens")
+        shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+        own = Window.partitionBy("nid")
+        order = F.row_number().over(own.orderBy("df", "token")) - 1
+        placed = tokens.join(shared, "token").select("nid", "token", order.alias("k"), F.count("*").over(own).alias("m"))
+        placed = placed.join(rest, "nid").withColumn("i", F.col("n") - F.col("m") + F.col("k"))
+        least = F.floor((self.percent * F.col("n") + 99) / 100)
+        prefix = self.keep(placed.filter(F.col("i") <= F.col("n") - least).select("token", "nid", "label", "n", "i"), "prefix")
+        counts = prefix.groupBy("token", "label").agg(F.count("*").alias("c"))
+        main = counts.groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("labels")).filter("labels > 1")
+        main = self.keep(main.select("token", "main"), "main")
+        inside = prefix.join(main, "token")
+        x, y = (inside.select("token", "main", *[F.col(c).alias(f"{s}_{c}") for c in ("nid", "label", "n", "i")]) for s in "xy")
+        x = x.filter("x_label <> main").drop("main")
+        once = (F.col("y_label") == F.col("main")) | (F.col("x_nid") > F.col("y_nid"))
+        room = F.least(F.col("x_n") - F.col("x_i"), F.col("y_n") - F.col("y_i")) * (100 + self.percent) >= self.percent * (F.col("x_n") + F.col("y_n"))
+        pairs = x.join(y, "token").filter((F.col("x_label") != F.col("y_label")) & once & self.near_sizes("x_n", "y_n") & room)
+        return pairs.select(F.greatest("x_nid", "y_nid").alias("a"), F.least("x_nid", "y_nid").alias("b")).distinct()
+
     def shingle_sets(self, picked: DataFrame) -> DataFrame:
         """nid and set of each picked class, from its least document's text.
 
