@@ -11,6 +11,7 @@ from ..operators import images as im
 from ..operators import layout as ly
 from ..operators import links as lk
 from ..operators import tables as tb
+from ..tables import scratch, stored
 
 PAGE = ["doc_id", "page_no"]
 BLOCK = [*PAGE, "block_no"]
@@ -33,7 +34,9 @@ def merged_runs(lines: Column) -> Column:
 
 
 class LayoutDocuments:
-    """Tables of one run; `blocks`, `flags` and `docs` are the results.
+    """Tables of one run; `blocks`, `document_flags`, `block_flags` and `docs` are the results.
+
+    What several later steps read is stored once in the shared folder: sizes, reading order, matched links and blocks.
 
     t: pages, spans, blocks_raw, links_raw, tables_raw, images_raw, doc_meta (see the schemas). Pages in
     `scanned` had their text recognised.
@@ -41,21 +44,23 @@ class LayoutDocuments:
 
     def __init__(self, t: dict[str, DataFrame], scanned: DataFrame | None = None):
         spark = t["pages"].sparkSession
-        self.t = t
+        folder = scratch(spark)
+        self.keep = lambda df, name: stored(df, folder, name)
+        self.t = t = {name: self.keep(df, name) for name, df in t.items()}
         self.docs = t["doc_meta"]
         self.scanned = scanned if scanned is not None else spark.createDataFrame([], "doc_id long, page_no int")
         sample = hd.page_sample(self.docs, hd.SAMPLE_PAGES)
-        self.histogram = hd.size_histogram(t["spans"], sample)
+        self.histogram = self.keep(hd.size_histogram(t["spans"], sample), "histogram")
         self.body = hd.body_size(self.histogram, self.docs)
         self.tiers = hd.heading_tiers(self.histogram, self.body)
         self.parted = tb.partition_blocks(t["blocks_raw"], t["tables_raw"])
         shown = ly.without_scan_rasters(im.placed(t["images_raw"]), t["pages"], self.scanned)
         self.excluded = shown.filter("excluded")
         self.images = im.judged(shown.filter("NOT excluded"), im.page_counts(t["images_raw"]), self.docs)
-        self.ordered = self._ordered()
-        self.matched = self._matched()
-        self.blocks = self._blocks()
-        self.flags = self._flags()
+        self.ordered = self.keep(self._ordered(), "ordered")
+        self.matched = self.keep(self._matched(), "matched")
+        self.blocks = self.keep(self._blocks(), "blocks")
+        self._flags()
 
     def _ordered(self) -> DataFrame:
         """Text blocks outside tables, tables and images of each page in reading order."""
@@ -145,7 +150,7 @@ class LayoutDocuments:
         out = out.join(tables, [*PAGE, "kind", "no"], "left").join(images, [*PAGE, "kind", "no"], "left")
         return out.withColumn("header_row", F.when(F.col("kind") == "table", F.col("n_rows") > 0)).withColumn("alt", F.lit(None).cast("string"))
 
-    def _flags(self) -> DataFrame:
+    def _flags(self) -> None:
         """Document flags (doc_id, flag_ord, code, ...) and block flags (with block_ord), as `document` and `block`."""
         page = F.format_string("page %d", F.col("page_no") + 1)
 
@@ -190,7 +195,6 @@ class LayoutDocuments:
         message = F.when(F.col("reason") == "tiny", "Taken as decoration: very small.").when(F.col("reason") == "repeated", "Taken as decoration: on most pages.").otherwise("The image needs a description or to be marked as decoration.")
         of_images = self.blocks.filter("kind = 'image'").select("doc_id", "block_ord", F.lit(0).alias("flag_ord"), F.col("flag").alias("code"), F.lit("1.1.1").alias("wcag_sc"), message.alias("message"), F.lit(None).cast("string").alias("location"))
         self.block_flags = low.unionByName(of_tables).unionByName(of_images)
-        return self.block_flags
 
 
 def plain_text() -> Column:

@@ -44,3 +44,11 @@ def html_meta(pages: DataFrame) -> DataFrame:
         title = F.replace(title, F.lit(entity), F.lit(raw))
     lang = F.regexp_extract("html", r"(?is)<html[^>]*\slang=[\"']?([^\"'\s>]+)", 1)
     return pages.select("doc_id", F.nullif(title, F.lit("")).alias("meta_title"), F.nullif(lang, F.lit("")).alias("meta_lang"))
+
+
+def html_links(pages: DataFrame) -> DataFrame:
+    """Every hyperlink of the raw pages (doc_id, html), navigation included: link_ord, text and href as written, without parsing."""
+    pattern = F.lit(r"(?is)<a\s[^>]*?href=\"([^\"]*)\"[^>]*>([^<]*)</a>")
+    texts, hrefs = F.regexp_extract_all("html", pattern, F.lit(2)), F.regexp_extract_all("html", pattern, F.lit(1))
+    rows = pages.select("doc_id", F.posexplode(F.arrays_zip(texts.alias("text"), hrefs.alias("href"))).alias("link_ord", "l"))
+    return rows.select("doc_id", "link_ord", "l.text", "l.href")
