@@ -74,7 +74,7 @@ def layout(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.struct(F.lit(3).alias("xref"), F.lit(700).alias("side")),
         F.struct(F.lit(4).alias("xref"), F.lit(0).alias("side")),
     )
-    on = F.filter(sides, lambda s: (s["xref"] == 1) | ((s["xref"] == 2) & (F.col("page_no") % 3 == 0)) | ((s["xref"] == 3) & (F.col("page_no") % 5 == 4)) | (s["xref"] == 4))
+    on = F.filter(sides, lambda s: (s["xref"] == 1) | ((s["xref"] == 2) & (F.col("page_no") % 3 == 0)) | ((s["xref"] == 3) & (F.col("page_no") % 5 == 0)) | (s["xref"] == 4))
     images = each.select(*PAGE, F.explode(on).alias("s")).select(
         *PAGE, F.col("s.xref").alias("xref"), F.lit(0).alias("placement_no"), F.when(F.col("s.side") > 0, rect(F.lit(10), F.lit(10), 10 + F.col("s.side"), 10 + F.col("s.side"))).alias("bbox"),
         F.concat(F.lit("i"), F.col("s.xref").cast("string")).cast("binary").alias("data"), F.when(F.col("s.xref") == 1, "png").when(F.col("s.xref") == 2, "jpg").otherwise("svg").alias("ext"),

@@ -93,7 +93,7 @@ ADS = """regexp_matches(html, '(?is)<div[^>]*>[^<]+</div>')"""
 WORD = r"(?i)^Microsoft Word - (.+?)(\.docx?|\.rtf)?$"
 WRAP = f"""{LINES}, wl AS (SELECT doc_id, line_no // 4 AS block_no, line_no, CASE WHEN line_no % 3 = 0 THEN lower(text) || '-' ELSE lower(text) END AS text, line_no % 5 = 0 AS linked FROM lines)"""
 IMG = f"""{LINES}, img AS (SELECT doc_id, page_no, xref, side, page_count FROM pages_l, (VALUES (1, 200), (2, 10), (3, 700), (4, 0)) AS v(xref, side)
-  WHERE xref = 1 OR (xref = 2 AND page_no % 3 = 0) OR (xref = 3 AND page_no % 5 = 4) OR xref = 4)"""
+  WHERE xref = 1 OR (xref = 2 AND page_no % 3 = 0) OR (xref = 3 AND page_no % 5 = 0) OR xref = 4)"""
 TAB = f"""{LINES}, tabs AS (SELECT DISTINCT doc_id, page_no FROM lines WHERE page_no % 2 = 1 AND line_no % 20 BETWEEN 4 AND 7),
 ov AS (SELECT b.*, CASE WHEN (x1 - x0) * (y1 - y0) > 0 THEN greatest(0, least(x1, 400) - greatest(x0, 60)) * greatest(0, least(y1, 275) - greatest(y0, 190)) / ((x1 - x0) * (y1 - y0)) ELSE 0 END AS ratio FROM box b)"""
 
@@ -166,7 +166,7 @@ ORACLE_SQL: dict[str, str] = {
     "confidence_range": f"WITH {HIST} SELECT doc_id, count(*) FILTER (WHERE c >= 0.5) AS sure, round(min(c) FILTER (WHERE c >= 0.5), 6) AS lo, round(max(c) FILTER (WHERE c >= 0.5), 6) AS hi FROM heads GROUP BY 1",
     "scanned_pages": f"""WITH {LINES}, ch AS (SELECT doc_id, page_no, length({strip("string_agg(text, '' ORDER BY line_no)")}) AS c FROM lines WHERE length(text) < 20 GROUP BY 1, 2),
        s10 AS (SELECT DISTINCT doc_id, CAST(round_even(i * ((page_count - 1) / 9.0), 0) AS INTEGER) AS page_no FROM pc, unnest(range(0, 10)) AS u(i) WHERE page_count > 50)
-       SELECT p.doc_id, p.page_no FROM pages_l p LEFT JOIN ch USING (doc_id, page_no) LEFT JOIN s10 s USING (doc_id, page_no) WHERE coalesce(c, 0) < 25 AND p.page_no % 5 = 4 AND (page_count <= 50 OR s.page_no IS NOT NULL)""",
+       SELECT p.doc_id, p.page_no FROM pages_l p LEFT JOIN ch USING (doc_id, page_no) LEFT JOIN s10 s USING (doc_id, page_no) WHERE coalesce(c, 0) < 25 AND p.page_no % 5 = 0 AND (page_count <= 50 OR s.page_no IS NOT NULL)""",
     "low_yield_pages": f"WITH {LINES}, ch AS (SELECT doc_id, page_no, CAST(sum(length({strip('text')})) AS BIGINT) AS chars FROM lines GROUP BY 1, 2) SELECT doc_id, p.page_no, coalesce(chars, 0) AS chars FROM pages_l p LEFT JOIN ch USING (doc_id, page_no) WHERE coalesce(chars, 0) < 10",
     "scan_image_exclusion": f"WITH {IMG} SELECT doc_id, page_no, xref, side = 700 AND page_no % 2 = 0 AS excluded FROM img WHERE side > 0",
     "x_clusters": f"WITH {ITEMS} SELECT doc_id, page_no, line_no AS item_no, cluster FROM clu",

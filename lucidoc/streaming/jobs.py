@@ -15,7 +15,7 @@ EXTRACTION_SHARE = 0.35
 
 
 def uploads(spark: SparkSession, folder: str, per_trigger: int = 1) -> DataFrame:
-    """A stream of files, `per_trigger` at a time: one is a queue with a single worker."""
+    """A stream of files, `per_trigger` at a time: one is a queue with a single worker. Spark's file source passes empty files over."""
     return spark.readStream.schema(UPLOAD).format("binaryFile").option("maxFilesPerTrigger", per_trigger).load(folder)
 
 
