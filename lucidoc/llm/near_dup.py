@@ -264,7 +264,7 @@ class NearDuplicates:
         rest = self.several(self.open(members, labels)).select("nid", "label").distinct()
         rest = self.keep(rest.join(picked.select("nid", "n"), "nid"), "rest")
         pairs = self.keep(self.prefix_pairs(rest), "pairs-3").join(seen.select("a", "b"), ["a", "b"], "left_anti")
-        last = self.keep(self.verified(pairs, picked, "third"), "seen-3")
+        last = self.keep(self.exact(self.keep(pairs, "likely-third")), "seen-3")
         labels = self.labels(seen.unionByName(last), picked, "three")
 
         least = labels.join(nodes.select("nid", "least"), "nid")
@@ -342,7 +342,10 @@ class NearDuplicates:
         side = lambda s, r: picked.select(F.col("nid").alias(s), F.col("n").alias(f"n{s}"), F.col("regs").alias(r))
         sized = pairs.join(side("a", "ra"), "a").join(side("b", "rb"), "b").filter(self.near_sizes("na", "nb"))
         likely = sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(partial(_estimate, floor_of(self.percent)), "a long, b long")
-        likely = self.keep(likely, f"likely-{name}")
+        return self.exact(self.keep(likely, f"likely-{name}"))
+
+    def exact(self, likely: DataFrame) -> DataFrame:
+        """a, b, common and total of pairs (a, b), from the full sets."""
         sets = self.sets
         if likely.count() <= 200_000:  # 16 bytes each: small enough to send the ids to the sets
             ids = likely.select(F.col("a").alias("nid")).union(likely.select("b")).distinct()
