@@ -21,6 +21,31 @@ ASCII_LOWER = ASCII_UPPER.lower()
 FOLD = str.maketrans(ASCII_UPPER, ASCII_LOWER)
 
 
+class Memory(dict):
+    """What `compute` makes of short strings, kept from one batch to the next.
+
+    Python workers live on from stage to stage, so only the memory in use keeps anything:
+    `begin` empties the others, and this one if it has grown beyond its bound.
+    """
+
+    every: list[Memory] = []
+
+    def __init__(self, compute: Callable, longest: int = 48):
+        self.compute, self.longest = compute, longest
+        Memory.every.append(self)
+
+    def __missing__(self, key: str):
+        value = self.compute(key)
+        if len(key) <= self.longest:
+            self[key] = value
+        return value
+
+    def begin(self, most: int) -> None:
+        for other in Memory.every:
+            if other and (other is not self or len(self) > most):
+                other.clear()
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

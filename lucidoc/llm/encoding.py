@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from .common import Memory
+
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 BLANK = "\x20\x09-\x0d"
 END = f"(?=[{BLANK}]|\\Z)"
@@ -29,19 +31,6 @@ def shown_bytes() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Memory(dict):
-    """Chunks' ids, computed at the first look-up and kept unless the chunk is long."""
-
-    def __init__(self, compute, longest: int):
-        self.compute, self.longest = compute, longest
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.compute(chunk)
-        if len(chunk) <= self.longest:
-            self[chunk] = ids
-        return ids
-
-
 class ChunkEncoder:
     """`encode(texts)` gives each text's ids as little-endian unsigned 32-bit bytes.
 
@@ -74,8 +63,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.splits:
             return [self._whole(t) if t else b"" for t in texts]
-        if len(self.known) > self.remember:
-            self.known.clear()
+        self.known.begin(self.remember)
         get, find = self.known.__getitem__, CHUNKS.findall
         # Lower-casing ASCII first, as the file does later, makes fewer distinct chunks; "|" begins special tokens.
         return [b"".join(map(get, find(t.lower() if t.isascii() and "|" not in t else t))) if t else b"" for t in texts]
@@ -84,10 +72,11 @@ class ChunkEncoder:
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, remember: int = 1_000_000) -> ChunkEncoder:
     """One encoder for a Python worker and file."""
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
+    _encoders[path].remember = remember
     return _encoders[path]
 
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import FOLD, WORDS, per_document, scratch, slices, stored
+from .common import FOLD, WORDS, Memory, per_document, scratch, slices, stored
 
 BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
@@ -42,17 +42,12 @@ BLOOM_BITS = 1 << 23
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Memory(dict):
-    """A 64-bit hash for each word after A-Z are lower-cased."""
+def _hash(word: str) -> int:
+    """64 bits of a word after A-Z are lower-cased."""
+    return xxhash.xxh3_64_intdigest(word.translate(FOLD).encode("utf-8", "surrogatepass"))
 
-    def __missing__(self, word: str) -> int:
-        code = xxhash.xxh3_64_intdigest(word.translate(FOLD).encode("utf-8", "surrogatepass"))
-        if len(word) <= 48:
-            self[word] = code
-        return code
 
-
-_memory = Memory()
+_memory = Memory(_hash)
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -67,8 +62,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     words = WORDS.findall(text) if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_memory) > 600_000:
-        _memory.clear()
+    _memory.begin(200_000)
     h = np.fromiter(map(_memory.__getitem__, words), np.uint64, len(words))
     n = min(size, len(words))
     x = np.full(len(words) - n + 1, n, np.uint64)

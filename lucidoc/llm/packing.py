@@ -77,10 +77,10 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 PIECES = "doc_id {0}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = GROUP, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = GROUP, end_id: int = END_ID, keep_ids: bool = False, remember: int = 1_000_000) -> DataFrame:
     """One row per piece of the documents' ids: doc_id, start (ids of its document before it),
     length, ids_crc32, doc_tokens (with the end id), sequence_id, offset (where in the sequence it
-    begins), and with `keep_ids` the ids as an array.
+    begins), and with `keep_ids` the ids as an array. `remember` bounds the chunks whose ids a worker keeps.
 
     A null or empty text is its end id alone. Repeated rows and repeated or null ids are documents
     of their own. An empty table gives no rows. Other columns are ignored. Sequences are to be
@@ -88,7 +88,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = GROU
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, last = encoder(path), end_id.to_bytes(4, "little")
+        coder, last = encoder(path, remember), end_id.to_bytes(4, "little")
         serial = TaskContext.get().partitionId() << 40
         rests: list[tuple] = []
         rows: list[tuple] = []

@@ -19,25 +19,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_document, slices
+from .common import Memory, per_document, slices
 
 BUCKETS, SAMPLE_ROWS, EPOCHS, SCALE, THRESHOLD = 1 << 18, 12_000, 4, 8.0, 0.3
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
 
-class Memory(dict):
-    """A 64-bit number for each token; cleared when it holds too many."""
+def _code(token: str) -> int:
+    """64 bits of a token."""
+    raw = token.encode("utf-8", "surrogatepass")
+    return zlib.crc32(raw) << 32 | zlib.crc32(raw[::-1] + b"#")
 
-    def __missing__(self, token: str) -> int:
-        raw = token.encode("utf-8", "surrogatepass")
-        code = zlib.crc32(raw) << 32 | zlib.crc32(raw[::-1] + b"#")
-        if len(token) <= 48:
-            self[token] = code
-        return code
 
-
-_memory = Memory()
+_memory = Memory(_code)
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -51,8 +46,7 @@ def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     tokens = TOKENS.findall(text) if text else []
     if not tokens:
         return np.zeros(0, np.int64)
-    if len(_memory) > 1_000_000:
-        _memory.clear()
+    _memory.begin(400_000)
     h = np.fromiter(map(_memory.__getitem__, tokens), np.uint64, len(tokens))
     parts = [h * MIX]
     if len(h) > 1:

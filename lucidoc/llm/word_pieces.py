@@ -17,7 +17,7 @@ from functools import partial
 import regex
 from pyspark.sql import DataFrame
 
-from .common import per_document
+from .common import Memory, per_document
 from .encoding import shown_bytes
 
 END = "\x00"
@@ -102,8 +102,8 @@ class WordPieceCounter:
         self.match = LongestMatch(pieces, pieces)
         self.normal = partial(unicodedata.normalize, "NFC")
         self.shown = shown_bytes()
-        self.remember, self.longest = remember, longest
-        self.known: dict[str, tuple[int, int]] = {}
+        self.remember = remember
+        self.known = Memory(self.chunk, longest)
 
     def chunk(self, chunk: str) -> tuple[int, int]:
         """Words and pieces of a chunk."""
@@ -111,20 +111,13 @@ class WordPieceCounter:
         return len(words), sum(self.match.count(w.encode().decode("latin-1").translate(self.shown) + END) for w in words)
 
     def count(self, texts: list[str | None]) -> dict[str, list[int]]:
-        known, out = self.known, {"n_words": [], "n_tokens": []}
+        out: dict[str, list[int]] = {"n_words": [], "n_tokens": []}
+        self.known.begin(self.remember)
+        get = self.known.__getitem__
         for text in texts:
-            words = tokens = 0
-            for c in (text or "").split():
-                if (got := known.get(c)) is None:
-                    got = self.chunk(c)
-                    if len(c) <= self.longest:
-                        if len(known) >= self.remember:
-                            known.clear()
-                        known[c] = got
-                words += got[0]
-                tokens += got[1]
-            out["n_words"].append(words)
-            out["n_tokens"].append(tokens)
+            counts = [get(c) for c in (text or "").split()]
+            out["n_words"].append(sum(n for n, _ in counts))
+            out["n_tokens"].append(sum(n for _, n in counts))
         return out
 
 
