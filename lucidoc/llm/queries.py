@@ -92,6 +92,39 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 """
 
+#: Sets of 4-word shingles, all pairs that share one, links, and reachability.
+OP5 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS sh FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT y, r FROM reach JOIN edges ON x = reach.doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS c FROM reach GROUP BY 1) USING (doc_id)
+"""
+
+#: The measures, and the rules as one condition.
+OP9 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+tri AS (SELECT r, i, array_to_string(w[i : i + 2], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 1, 1))) AS u(i)),
+twice AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, s) AS c FROM tri) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM twice, unnest(range(i, i + 3)) AS u(p) GROUP BY 1),
+l AS (SELECT r, count(*) AS n, count(DISTINCT x) AS k FROM d, unnest(string_split(t, chr(10))) AS u(x) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(l.n - l.k, 0) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS marks, coalesce(l.n, 0) AS n_lines
+      FROM d LEFT JOIN l USING (r) LEFT JOIN rep USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > 3 * n_words OR 10 * marks > 3 * n_words
+       OR 100 * n_dup_lines > 30 * n_lines OR word_chars > 25 * n_words OR word_chars < 2 * n_words) AS kept
+FROM m
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_near_duplicates": OP5,
     "op7_decontamination": OP7,
+    "op9_quality_rules": OP9,
 }
