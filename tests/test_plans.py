@@ -220,3 +220,21 @@ def test_job_metadata_drops_malformed_records(spark, tmp_path):
     assert [r.job_id for r in jobs.job_metadata(spark, str(tmp_path)).collect()] == ["a"]
     done = jobs.job_metadata(spark, str(tmp_path)).withColumn("downloads", F.array(F.lit("pdf")))
     assert '"downloads":["pdf"]' in jobs.status(done).first().status
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lucidoc.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.docx").write_bytes(docx_bytes(paragraph("Hi", "H1"), "A title", "en"))
+    (tmp_path / "in" / "b.docx").write_bytes(b"broken")
+    (tmp_path / "in" / "c.pdf").write_bytes(b"%PDF")
+    assert main([str(tmp_path / "in"), "-o", str(tmp_path / "out")]) == 0
+    told = capsys.readouterr().err
+    assert "b.docx" in told and "c.pdf" in told
+    page = "".join(p.read_text() for p in (tmp_path / "out" / "artifact=html" / "stem=a").glob("part-*"))
+    assert "<title>A title</title>" in page and "<h1>Hi</h1>" in page
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "b.docx").write_bytes(b"broken")
+    assert main([str(tmp_path / "bad"), "-o", str(tmp_path / "none")]) == 1 and not (tmp_path / "none").exists()
+    assert main([str(tmp_path / "missing"), "-o", str(tmp_path / "none")]) == 1
