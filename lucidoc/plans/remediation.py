@@ -14,6 +14,7 @@ from ..operators import images as im
 from ..operators import links as lk
 from ..operators import render, report, tables
 from ..sources.docx import IMAGE_SCHEME
+from ..tables import scratch, stored
 
 FLAG_COLUMNS = ["doc_id", "block_ord", "flag_ord", "code", "wcag_sc", "message", "location"]
 
@@ -148,8 +149,11 @@ def remediated(docs: DataFrame, blocks: DataFrame, of_documents: DataFrame, of_b
 
 
 def from_markup(meta: DataFrame, blocks: DataFrame, detected: DataFrame, images: DataFrame | None = None) -> Remediated:
-    """Documents of a markup source: meta (doc_id, filename, meta_title, meta_lang) and blocks."""
-    full = markup_blocks(blocks, images)
+    """Documents of a markup source: meta (doc_id, filename, meta_title, meta_lang) and blocks.
+
+    The blocks are stored, as titles, languages, flags, fixes, links and HTML each read them; so files are parsed once.
+    """
+    full = stored(markup_blocks(blocks, images), scratch(blocks.sparkSession), "blocks")
     title = titles(meta, full, layout=False)
     lang = languages(meta, plain_texts(full), detected)
     docs = title.select("doc_id", "title").join(lang.select("doc_id", "lang"), "doc_id")
