@@ -48,7 +48,9 @@ def script_family(text: Column) -> Column:
     )
     # The family is decided by its count, then by the earlier first letter.
     best = F.array_max(F.filter(counted, lambda c: c["n"] > 0))
-    return F.when(best["n"] / letters(text) >= MIN_SHARE, best["family"])
+    found = F.when(best["n"] / letters(text) >= MIN_SHARE, best["family"])
+    # One look for any of the scripts spares most texts the counts.
+    return F.when(text.rlike(f"[{''.join(SCRIPTS.values())}]"), found)
 
 
 def is_plausible(code: Column, family: Column) -> Column:
