@@ -66,10 +66,15 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, which cuts lineage and outlives executors."""
+def stored(df: DataFrame, folder: str, name: str, all_tasks: bool = False) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, which cuts lineage and outlives executors.
+
+    Each file costs the file system several calls, and some stores a process each; so twice as many tasks as there
+    are cores write it, each going through its partitions in turn. `all_tasks` keeps the partitions apart, for long work.
+    """
     path = f"{folder}/{name}"
-    df.write.parquet(path)
+    most = 2 * df.sparkSession.sparkContext.defaultParallelism
+    (df if all_tasks else df.coalesce(most)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -94,7 +94,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     size = shingles.agg(F.count("*"), F.collect_set("s")).head()
     few = size[0] <= BROADCAST_ROWS
     small = F.broadcast if few else lambda df: df
-    found = stored(matches(docs, shingles, few, sorted(size[1]) or [SHINGLE]), folder, "matches")
+    found = stored(matches(docs, shingles, few, sorted(size[1]) or [SHINGLE]), folder, "matches", all_tasks=True)
     hits = found.filter(F.col("h").isNotNull()).select(*KEY, "n_words", "pos", "h")
 
     # Rarity, and each window's rarest shingle: the prefix that must match.

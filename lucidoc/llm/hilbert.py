@@ -114,11 +114,11 @@ def assign(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] =
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    meta = quantised(stored(meta, folder, "meta"), dimensions, bits)
+    meta = quantised(stored(meta, folder, "meta", all_tasks=True), dimensions, bits)
     cells = meta.select("cell").distinct().select("cell", curve_index(F.col("cell"), len(dimensions), bits).alias("curve"))
     placed = meta.join(F.broadcast(cells), "cell").select("doc_id", "size", "text_crc32", "curve")
     ordered = placed.repartitionByRange("curve", "text_crc32", "doc_id").sortWithinPartitions("curve", "text_crc32", "doc_id")
-    ordered = stored(ordered.withColumn("at", F.monotonically_increasing_id()), folder, "ordered")
+    ordered = stored(ordered.withColumn("at", F.monotonically_increasing_id()), folder, "ordered", all_tasks=True)
     part, within = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
     # A row for each partition of the sort: few enough for one window and a broadcast.
     counts = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))

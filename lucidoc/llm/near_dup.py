@@ -200,8 +200,8 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     by doubling; each round is a table, which cuts lineage.
     """
     spark = edges.sparkSession
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), folder, f"{name}-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), folder, f"{name}-0")
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
     for k in range(1, 100):
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         low = labels.join(near, "node").select("node", F.least("label", "m").alias("low"), F.col("label").alias("was"))
@@ -223,8 +223,8 @@ class NearDuplicates:
         self.size, self.percent = size, percent
         self.folder = scratch(self.spark)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        return stored(df, self.folder, name)
+    def keep(self, df: DataFrame, name: str, all_tasks: bool = False) -> DataFrame:
+        return stored(df, self.folder, name, all_tasks)
 
     def near_sizes(self, na: str, nb: str):
         return (100 * F.least(na, nb) >= self.percent * F.greatest(na, nb))
@@ -232,13 +232,13 @@ class NearDuplicates:
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(doc_id, h, n, sig) of each row, h being a hash of its text, and (sig, nid, least, label, component_id) of each class."""
         rows = self.docs.withColumn("h", F.xxhash64("text"))
-        sketched = self.keep(per_document(rows, partial(_sketches, self.size), "n long, sig binary, regs binary", ("doc_id", "h")), "sketched")
+        sketched = self.keep(per_document(rows, partial(_sketches, self.size), "n long, sig binary, regs binary", ("doc_id", "h")), "sketched", all_tasks=True)
         some = sketched.filter(F.col("n") > 0)
         classes = some.groupBy("sig", "n").agg(F.min("doc_id").alias("least"), F.min("regs").alias("regs"))
         nodes = self.keep(classes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
         bands = nodes.select("nid", "regs").mapInArrow(_bands, "key long, nid long")
         buckets = bands.groupBy("key").agg(F.min("nid").alias("leader"), F.max("nid").alias("last")).filter("leader < last").select("key", "leader")
-        members = self.keep(bands.join(self.keep(buckets, "buckets"), "key"), "members")
+        members = self.keep(bands.join(buckets, "key"), "members")
         first = members.groupBy("nid").agg(F.min("leader").alias("leader"))
         picked = self.keep(nodes.join(first, "nid").select("nid", "sig", "n", "least", "regs", "leader"), "picked")
         self.sets = self.keep(self.shingle_sets(picked), "sets")
@@ -257,7 +257,7 @@ class NearDuplicates:
         labels = self.labels(seen, picked, "two")
         rest = self.several(self.open(members, labels)).select("nid", "label").distinct()
         rest = self.keep(rest.join(picked.select("nid", "n"), "nid"), "rest")
-        pairs = self.keep(self.prefix_pairs(rest), "pairs-3").join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = self.prefix_pairs(rest).join(seen.select("a", "b"), ["a", "b"], "left_anti")
         last = self.keep(self.exact(self.keep(pairs, "likely-third")), "seen-3")
         labels = self.labels(seen.unionByName(last), picked, "three")
 
@@ -287,8 +287,7 @@ class NearDuplicates:
         prefix = self.keep(placed.filter(F.col("i") <= F.col("n") - least).select("token", "nid", "label", "n", "i"), "prefix")
         counts = prefix.groupBy("token", "label").agg(F.count("*").alias("c"))
         main = counts.groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("labels")).filter("labels > 1")
-        main = self.keep(main.select("token", "main"), "main")
-        inside = prefix.join(main, "token")
+        inside = prefix.join(main.select("token", "main"), "token")
         x, y = (inside.select("token", "main", *[F.col(c).alias(f"{s}_{c}") for c in ("nid", "label", "n", "i")]) for s in "xy")
         x = x.filter("x_label <> main").drop("main")
         once = (F.col("y_label") == F.col("main")) | (F.col("x_nid") > F.col("y_nid"))

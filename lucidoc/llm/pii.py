@@ -245,7 +245,7 @@ def spans(docs: DataFrame) -> DataFrame:
     gives them an even chance and they overlap no base span.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    located = stored(docs.select("doc_id", candidates(text).alias("found")), scratch(docs.sparkSession), "candidates")
+    located = stored(docs.select("doc_id", candidates(text).alias("found")), scratch(docs.sparkSession), "candidates", all_tasks=True)
     each = located.select(F.explode("found").alias("c")).select("c.kind", "c.votes", "c.before", "c.after", "c.size")
     counts = [(r[0], tuple(r[1]), r[2], r[3], r[4], r[5]) for r in each.groupBy("kind", "votes", "before", "after", "size").agg(F.count("*")).orderBy("kind", "votes", "before", "after", "size").collect()]
     patterns: dict = {}
