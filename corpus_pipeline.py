@@ -32,7 +32,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences."""
-    return packing.pack(docs, vocabulary(VOCABULARY), remember=300_000)
+    return packing.pack(docs, vocabulary(VOCABULARY), remember=150_000)
 
 
 STAGES = [

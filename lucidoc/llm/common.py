@@ -21,6 +21,19 @@ ASCII_LOWER = ASCII_UPPER.lower()
 FOLD = str.maketrans(ASCII_UPPER, ASCII_LOWER)
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Before work in Python: ship the package, and keep Arrow batches small, since a task holds several copies of one.
+
+    A session that sets the batch size itself keeps it.
+    """
+    ship(spark)
+    if ARROW_BYTES not in dict(spark.sparkContext.getConf().getAll()) and spark.conf.get(ARROW_BYTES, None) in (None, "67108864b", "64MB", "9223372036854775807b"):
+        spark.conf.set(ARROW_BYTES, "8m")
+
+
 class Memory(dict):
     """What `compute` makes of short strings, kept from one batch to the next.
 
@@ -47,13 +60,13 @@ class Memory(dict):
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder; it goes when the application ends."""
-    ship(spark)
+    prepare(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "/tmp/lucidoc-checkpoints"
@@ -118,7 +131,7 @@ def per_document(df: DataFrame, function: Callable[[list], dict], schema: str, k
             arrays += [pa.array(made[f.name], f.type) for f in arrow[len(keys) :]]
             yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(arrow))
 
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     base = df.select(*keys, F.col("text").cast("string").alias("text"))
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string

@@ -62,7 +62,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     words = WORDS.findall(text) if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    _memory.begin(200_000)
+    _memory.begin(100_000)
     h = np.fromiter(map(_memory.__getitem__, words), np.uint64, len(words))
     n = min(size, len(words))
     x = np.full(len(words) - n + 1, n, np.uint64)

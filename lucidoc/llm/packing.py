@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shipping import ship
-from .common import slices
+from .common import prepare, slices
 from .encoding import encoder
 
 CAPACITY, GROUP, END_ID = 4096, 1024, 2
@@ -132,7 +131,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = GROU
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
     schema = T._parse_datatype_string(PIECES.format(kind) + (", ids array<long>" if keep_ids else ""))

@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import BLANKS, WORDS, per_document
+from .common import BLANKS, WORDS, per_document, prepare
 
 SYMBOLS = "#*$%&|<>"
 
@@ -145,7 +144,7 @@ def measure(docs: DataFrame, rules: dict = RULES) -> DataFrame:
 
 def filtered(docs: DataFrame, rules: dict = RULES) -> DataFrame:
     """The rows of documents that no rule rejects, with all their columns."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     order = plan(docs, rules)
     at = docs.columns.index("text")
     schema = docs.schema

@@ -18,8 +18,7 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..shipping import ship
-from .common import per_document
+from .common import per_document, prepare
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -225,7 +224,7 @@ def mask(text: str | None, fill: str = "[SECRET]") -> str | None:
 def masked(docs: DataFrame, fill: str = "[SECRET]") -> DataFrame:
     """Documents with their secrets replaced and, where there is one, n_chars brought up to date;
     all rows and other columns stay as they are."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     names, schema = docs.columns, docs.schema
 
     def run(batches):
