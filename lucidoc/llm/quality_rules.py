@@ -79,10 +79,10 @@ class TextView:
 RULES: dict[str, Callable[[TextView], bool]] = {
     "few_words": lambda v: v.n_words < 50,
     "repeated_words": lambda v: 100 * v.n_repeat_words > 50 * v.n_words,
-    "repeated_words_30": lambda v: 100 * v.n_repeat_words > 30 * v.n_words,
     "symbols": lambda v: 10 * v.n_symbols > 3 * v.n_words,
     "shouting": lambda v: 10 * v.n_bangs > 3 * v.n_words,
-    "repeated_lines": lambda v: 100 * v.n_dup_lines > 30 * len(v.lines),
+    # One or two repeats in a text of few lines, such as a licence line, are no junk.
+    "repeated_lines": lambda v: v.n_dup_lines >= 3 and 100 * v.n_dup_lines > 30 * len(v.lines),
     "long_words": lambda v: v.word_chars > 25 * v.n_words,
     "short_words": lambda v: v.word_chars < 2 * v.n_words,
 }

@@ -118,8 +118,8 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_repla
         CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS marks, coalesce(l.n, 0) AS n_lines
       FROM d LEFT JOIN l USING (r) LEFT JOIN rep USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > 3 * n_words OR 10 * marks > 3 * n_words
-       OR 100 * n_dup_lines > 30 * n_lines OR word_chars > 25 * n_words OR word_chars < 2 * n_words) AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > 3 * n_words OR 10 * marks > 3 * n_words
+       OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines) OR word_chars > 25 * n_words OR word_chars < 2 * n_words) AS kept
 FROM m
 """
 
