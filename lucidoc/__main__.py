@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .plans import language_id, remediation
+from .plans import language_id, accessible
 from .sinks import write_files
 from .sources.docx import docx_documents, files
 from .streaming.jobs import STAGES
@@ -40,11 +40,11 @@ def process(spark: SparkSession, source: str, target: str, language_data: str |
     blocks = ok.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
     images = ok.select("doc_id", F.explode("images").alias("i")).select("doc_id", "i.*")
     if language_data:
-        texts = remediation.plain_texts(remediation.markup_blocks(blocks))
+        texts = accessible.plain_texts(accessible.markup_blocks(blocks))
         detected = language_id.classify(texts, language_id.train(spark.read.parquet(language_data)))
     else:
         detected = spark.createDataFrame([], "doc_id long, code string, confidence double")
-    result = remediation.from_markup(ok.select("doc_id", "filename", "meta_title", "meta_lang"), blocks, detected, images)
+    result = accessible.from_markup(ok.select("doc_id", "filename", "meta_title", "meta_lang"), blocks, detected, images)
     progress("building_report", stages["building_report"])
     parts = [(result.html, "html", "html"), (result.report_json, "json", "report.json"), (result.report_html, "html", "report.html")]
     out = None

@@ -20,7 +20,7 @@ FLAG_COLUMNS = ["doc_id", "block_ord", "flag_ord", "code", "wcag_sc", "message",
 
 
 @dataclass
-class Remediated:
+class AccessibleDocuments:
     """Results of a plan, a row for each document in `html`, `report`, `report_json` and `report_html`."""
 
     docs: DataFrame
@@ -132,7 +132,7 @@ def mime_flags(blocks: DataFrame) -> DataFrame:
     return found.select("doc_id", "block_ord", F.lit(1).alias("flag_ord"), F.lit("IMAGE_UNKNOWN_MIME_TYPE").alias("code"), F.lit("1.1.1").alias("wcag_sc"), F.lit("The image's type is unknown, so it could not be shown.").alias("message"), F.lit(None).cast("string").alias("location"))
 
 
-def remediated(docs: DataFrame, blocks: DataFrame, of_documents: DataFrame, of_blocks: DataFrame) -> Remediated:
+def rebuilt(docs: DataFrame, blocks: DataFrame, of_documents: DataFrame, of_blocks: DataFrame) -> AccessibleDocuments:
     """Repairs, HTML and report of documents (doc_id, title, lang) from their blocks and flags."""
     found = blocks.filter("kind = 'heading'").select("doc_id", F.col("block_ord").alias("ord"), "level", run_text(F.col("runs")).alias("text"))
     repaired = hd.repaired_levels(hd.with_title(found, docs.select("doc_id", "title")))
@@ -145,10 +145,10 @@ def remediated(docs: DataFrame, blocks: DataFrame, of_documents: DataFrame, of_b
     made = repaired.filter("synthetic").select("doc_id", F.col("ord").alias("block_ord"), F.concat(F.lit("<h"), F.col("level_final").cast("string"), F.lit(">"), render.escaped(F.col("text")), F.lit("</h"), F.col("level_final").cast("string"), F.lit(">")).alias("html"))
     html = render.documents_html(docs, parts.unionByName(made))
     nested = report.reports(docs, its, links)
-    return Remediated(docs, repaired, flags, fixes, links, its, html, nested, report.report_json(nested), report.report_html(nested, render.REPORT_STYLE))
+    return AccessibleDocuments(docs, repaired, flags, fixes, links, its, html, nested, report.report_json(nested), report.report_html(nested, render.REPORT_STYLE))
 
 
-def from_markup(meta: DataFrame, blocks: DataFrame, detected: DataFrame, images: DataFrame | None = None) -> Remediated:
+def from_markup(meta: DataFrame, blocks: DataFrame, detected: DataFrame, images: DataFrame | None = None) -> AccessibleDocuments:
     """Documents of a markup source: meta (doc_id, filename, meta_title, meta_lang) and blocks.
 
     The blocks are stored, as titles, languages, flags, fixes, links and HTML each read them; so files are parsed once.
@@ -157,12 +157,12 @@ def from_markup(meta: DataFrame, blocks: DataFrame, detected: DataFrame, images:
     title = titles(meta, full, layout=False)
     lang = languages(meta, plain_texts(full), detected)
     docs = title.select("doc_id", "title").join(lang.select("doc_id", "lang"), "doc_id")
-    return remediated(docs, full, document_flags(lang, title), markup_flags(full))
+    return rebuilt(docs, full, document_flags(lang, title), markup_flags(full))
 
 
-def from_layout(found, detected: DataFrame) -> Remediated:
+def from_layout(found, detected: DataFrame) -> AccessibleDocuments:
     """Documents of a LayoutDocuments."""
     title = titles(found.docs, found.blocks, layout=True)
     lang = languages(found.docs, plain_texts(found.blocks), detected)
     docs = title.select("doc_id", "title").join(lang.select("doc_id", "lang"), "doc_id")
-    return remediated(docs, found.blocks, document_flags(lang, title, found.document_flags), found.block_flags)
+    return rebuilt(docs, found.blocks, document_flags(lang, title, found.document_flags), found.block_flags)

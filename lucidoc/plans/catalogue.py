@@ -25,7 +25,7 @@ from ..sources.docx_writer import with_docx
 from ..sources.html import html_blocks, html_links, html_meta
 from ..sources.layout import accepted, ocr_gate, recognised
 from ..streaming import jobs
-from . import language_id, layout_documents, remediation
+from . import language_id, layout_documents, accessible
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,21 +98,21 @@ def web(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("filename"), "html")
 
 
-def web_remediated(spark: SparkSession, sf_dir: str) -> remediation.Remediated:
+def web_rebuilt(spark: SparkSession, sf_dir: str) -> accessible.AccessibleDocuments:
     pages = web(spark, sf_dir)
     meta = html_meta(pages).join(pages.select("doc_id", "filename"), "doc_id")
     detected = inline(spark, [], "doc_id long, code string, confidence double")
-    return remediation.from_markup(meta, html_blocks(pages), detected)
+    return accessible.from_markup(meta, html_blocks(pages), detected)
 
 
 @query
 def severity_by_page(spark, sf_dir):
-    return report.totals(web_remediated(spark, sf_dir).items, web(spark, sf_dir))
+    return report.totals(web_rebuilt(spark, sf_dir).items, web(spark, sf_dir))
 
 
 @query
 def report_totals(spark, sf_dir):
-    return web_remediated(spark, sf_dir).items.groupBy("severity", "code", "r_number").agg(F.count("*").alias("items"))
+    return web_rebuilt(spark, sf_dir).items.groupBy("severity", "code", "r_number").agg(F.count("*").alias("items"))
 
 
 @query
@@ -122,17 +122,17 @@ def page_blocks(spark, sf_dir):
 
 @query
 def page_html(spark, sf_dir):
-    return web_remediated(spark, sf_dir).html
+    return web_rebuilt(spark, sf_dir).html
 
 
 @query
 def report_json(spark, sf_dir):
-    return web_remediated(spark, sf_dir).report_json
+    return web_rebuilt(spark, sf_dir).report_json
 
 
 @query
 def report_html(spark, sf_dir):
-    return web_remediated(spark, sf_dir).report_html
+    return web_rebuilt(spark, sf_dir).report_html
 
 
 @query
@@ -171,7 +171,7 @@ def title_cleanup(spark, sf_dir):
 def title_fallback(spark, sf_dir):
     found = lines(spark, sf_dir).filter("line_no < 3 AND doc_id % 2 = 0").select("doc_id", F.col("line_no").alias("block_ord"), F.lit("heading").alias("kind"), F.col("line_no").alias("level"), F.array(F.struct("text")).alias("runs"))
     meta = load(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("dir/file "), F.col("doc_id").cast("string"), F.lit(".v1.pdf")).alias("filename"), F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Microsoft Word - "), "source", F.lit(".docx"))).alias("meta_title"))
-    return remediation.titles(meta, found, layout=True).select("doc_id", "title", "flag")
+    return accessible.titles(meta, found, layout=True).select("doc_id", "title", "flag")
 
 
 @query
@@ -492,9 +492,9 @@ def recognised_pages(spark, sf_dir):
     return recognised(docs, scanned, after.join(scanned.select("doc_id"), "doc_id"))
 
 
-def pdf_remediated(spark: SparkSession, sf_dir: str) -> remediation.Remediated:
+def layout_rebuilt(spark: SparkSession, sf_dir: str) -> accessible.AccessibleDocuments:
     detected = inline(spark, [], "doc_id long, code string, confidence double")
-    return remediation.from_layout(layout_documents.LayoutDocuments(layout(spark, sf_dir)), detected)
+    return accessible.from_layout(layout_documents.LayoutDocuments(layout(spark, sf_dir)), detected)
 
 
 @query
@@ -504,7 +504,7 @@ def layout_blocks(spark, sf_dir):
 
 @query
 def layout_report(spark, sf_dir):
-    return pdf_remediated(spark, sf_dir).items.groupBy("code", "severity").agg(F.count("*").alias("n"))
+    return layout_rebuilt(spark, sf_dir).items.groupBy("code", "severity").agg(F.count("*").alias("n"))
 
 
 # Language ------------------------------------------------------------------

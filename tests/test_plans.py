@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lucidoc.operators import headings as hd
 from lucidoc.operators import layout as ly
 from lucidoc.operators import links as lk
-from lucidoc.plans import layout_documents, remediation
+from lucidoc.plans import layout_documents, accessible
 from lucidoc.sinks import write_files
 from lucidoc.sources.docx import dispatched, docx_documents
 from lucidoc.sources.docx_writer import docx_bytes, paragraph
@@ -22,7 +22,7 @@ NOT_DETECTED = "doc_id long, code string, confidence double"
 def from_html(spark, html, title=None, lang=None):
     pages = spark.createDataFrame([(1, "f.docx", html)], "doc_id long, filename string, html string")
     meta = spark.createDataFrame([(1, "f.docx", title, lang)], META)
-    return remediation.from_markup(meta, html_blocks(pages, False), spark.createDataFrame([], NOT_DETECTED))
+    return accessible.from_markup(meta, html_blocks(pages, False), spark.createDataFrame([], NOT_DETECTED))
 
 
 def codes(result):
@@ -144,7 +144,7 @@ def test_docx(spark):
     ok = docs.filter("status = 'ok'")
     blocks = ok.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
     images = ok.select("doc_id", F.explode("images").alias("i")).select("doc_id", "i.*")
-    result = remediation.from_markup(ok.select("doc_id", "filename", "meta_title", "meta_lang"), blocks, spark.createDataFrame([], NOT_DETECTED), images)
+    result = accessible.from_markup(ok.select("doc_id", "filename", "meta_title", "meta_lang"), blocks, spark.createDataFrame([], NOT_DETECTED), images)
     page = result.html.first().html
     assert '<html lang="fr-FR">' in page and "<ul><li>one<ul><li>two</li></ul></li><li>three</li></ul>" in page and "data:image/png;base64,iVBORw==" in page
     assert codes(result) == ["HEADING_SKIP_REPAIRED", "HEADER_ROW_AUTO_ADDED", "NO_HEADER_ROW_DETECTED", "MISSING_ALT"]
@@ -179,7 +179,7 @@ def test_layout_document(spark):
     found = layout_documents.LayoutDocuments(t)
     kinds = [r.kind for r in found.blocks.orderBy("block_ord").collect()]
     assert kinds == ["heading", "heading", "paragraph", "list"] + ["paragraph"] * 5 + ["table", "image"]
-    result = remediation.from_layout(found, make([], NOT_DETECTED))
+    result = accessible.from_layout(found, make([], NOT_DETECTED))
     page = result.html.first().html
     assert "<title>Big title</title>" in page and "<p>This line has a hyphenated word.</p>" in page and "<ul><li>one</li><li>two</li></ul>" in page
     assert '<p><a href="http://x">See the plan here</a></p>' in page and 'alt=""' in page
