@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import covers_half
@@ -20,28 +19,23 @@ def candidates(probes: DataFrame, links: DataFrame) -> DataFrame:
 def greedy_matches(probes: DataFrame, links: DataFrame) -> DataFrame:
     """(doc_id, page_no, probe_no, link_no, uri): probes in order take the first link that no probe before took.
 
-    Where no link has two candidates and no probe has, that is the join itself; contested pages go through a fold, page by page,
-    over the few candidate pairs of the page.
+    Where no link has two candidates and no probe has, that is the join itself. The pairs of a contested page, which are
+    few, are folded in order: a pair counts if neither of its sides is taken yet.
     """
     pairs = candidates(probes, links.filter(F.coalesce("uri", F.lit("")) != ""))
-    page = Window.partitionBy(*PAGE)
     by_link = F.count("*").over(Window.partitionBy(*PAGE, "link_no"))
     by_probe = F.count("*").over(Window.partitionBy(*PAGE, "probe_no"))
-    marked = pairs.withColumn("most", F.greatest(by_link, by_probe)).withColumn("contested", F.max("most").over(page) > 1)
-    plain = marked.filter(~F.col("contested")).select(*PAGE, "probe_no", "link_no", "uri")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["probe_no", "link_no"])
-        probes_done, links_done, keep = set(), set(), []
-        for k, (probe, link) in enumerate(zip(rows["probe_no"], rows["link_no"])):
-            if probe not in probes_done and link not in links_done:
-                probes_done.add(probe)
-                links_done.add(link)
-                keep.append(k)
-        return rows.iloc[keep]
-
-    contested = marked.filter("contested").select(*PAGE, "probe_no", "link_no", "uri")
-    return plain.unionByName(contested.groupBy(*PAGE).applyInPandas(fold, contested.schema))
+    pages = pairs.withColumn("most", F.greatest(by_link, by_probe)).groupBy(*PAGE).agg(
+        F.max("most").alias("most"), F.sort_array(F.collect_list(F.struct("probe_no", "link_no", "uri"))).alias("pairs")
+    )
+
+    def take(done: Column, pair: Column) -> Column:
+        taken = F.exists(done, lambda d: (d["probe_no"] == pair["probe_no"]) | (d["link_no"] == pair["link_no"]))
+        return F.when(taken, done).otherwise(F.concat(done, F.array(pair)))
+
+    folded = F.aggregate("pairs", F.slice("pairs", 1, 0), take)
+    kept = F.when(F.col("most") == 1, F.col("pairs")).otherwise(folded)
+    return pages.select(*PAGE, F.explode(kept).alias("m")).select(*PAGE, "m.*")
 
 
 def unassociated(links: DataFrame, matched: DataFrame) -> DataFrame:
