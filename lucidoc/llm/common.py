@@ -91,12 +91,6 @@ def stored(df: DataFrame, folder: str, name: str, all_tasks: bool = False) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Remove a table of this module that no later plan reads."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. lower() does that for pure ASCII at a fraction of translate()'s cost."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
