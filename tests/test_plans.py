@@ -238,3 +238,18 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "bad" / "b.docx").write_bytes(b"broken")
     assert main([str(tmp_path / "bad"), "-o", str(tmp_path / "none")]) == 1 and not (tmp_path / "none").exists()
     assert main([str(tmp_path / "missing"), "-o", str(tmp_path / "none")]) == 1
+
+
+def test_recognition_by_an_outside_program(spark, tmp_path):
+    from lucidoc.sources.recognition import recognised_files
+
+    script = tmp_path / "fake"
+    script.write_text('#!/bin/sh\nfor a; do last=$a; done\nin=$(dirname "$last")/in.pdf\ncase $(cat "$in") in slow) exec sleep 30;; bad) echo broken >&2; exit 3;; esac\n(echo "$*" | cut -c1-6; cat "$in") > "$last"\n')
+    script.chmod(0o755)
+    found = spark.createDataFrame([(1, b"page"), (2, b"slow"), (3, b"bad")], "doc_id long, content binary")
+    got = {r.doc_id: r for r in recognised_files(found, (str(script),), total_timeout=2).collect()}
+    assert bytes(got[1].content) == b"-l eng\npage" and got[1].error is None
+    assert got[2].content is None and "longer than 2 s" in got[2].error
+    assert "broken" in got[3].error
+    missing = recognised_files(found.limit(1), ("/no/such/program",)).first()
+    assert "can't run" in missing.error
