@@ -1,7 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 Every layer of a text is scanned: the text itself, then what its URL-escaped, backslash-escaped,
-base64 and compressed regions hold, and so on until no layer yields a new one. Decoded layers keep
+base64 and compressed regions hold, and so on until no layer yields a new one. Bytes are inflated as long as they begin
+like a compressed stream, and read with a character for each byte (and as UTF-16), so none are passed over. Decoded layers keep
 a map to code points of the whole text, so a find inside them becomes a span of the text.
 A layer seen before (by digest, with its place) isn't decoded again, which ends cycles.
 """
@@ -14,6 +15,7 @@ import hashlib
 import re
 import zlib
 from collections import deque
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,13 +48,19 @@ def finds(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def readable(data: bytes) -> str | None:
-    """The bytes as text if they are UTF-8 without control characters."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
+#: Text of ASCII characters of two bytes each, in either order; no find is shorter.
+WIDE = (("utf-16-le", re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){8}")), ("utf-16-be", re.compile(rb"(?:\0[\t\n\r\x20-\x7e]){8}")))
+
+
+def readings(data: bytes) -> Iterator[tuple[str, str]]:
+    """What the bytes say as text, as (coding, text): a character for each byte, and UTF-16 where it shows.
+
+    All that is looked for is ASCII, which stands in such a reading as in UTF-8, whatever bytes are around it.
+    """
+    yield "", data.decode("latin-1")
+    for coding, run in WIDE:
+        for offset in sorted({m.start() % 2 for m in run.finditer(data)}):
+            yield "utf16.", data[offset:].decode(coding, "replace")
 
 
 def unpacked(data: bytes, most: int) -> bytes | None:
@@ -63,6 +71,17 @@ def unpacked(data: bytes, most: int) -> bytes | None:
         return None
 
 
+def contents(data: bytes, most: int) -> Iterator[tuple[str, str]]:
+    """The readings of the bytes and, while these are compressed, of what they inflate to, as (coding, text)."""
+    coding, known = "base64.", set()
+    while data and data not in known:
+        known.add(data)
+        for wide, text in readings(data):
+            yield coding + wide, text
+        coding = "packed." if coding == "base64." else coding + "packed."
+        data = unpacked(data, most) if data[:2] in PACKED else None
+
+
 def unescape_url(region: str) -> tuple[str, list[int]]:
     """The region without percent escapes, and where each of its characters came from."""
     out, at, i = [], [], 0
@@ -131,13 +150,8 @@ def layers(text: str, most: int = 10_000_000):
             data = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        if data[:2] in PACKED:
-            data, coding = unpacked(data, most), "packed"
-        else:
-            coding = "base64"
-        layer = readable(data) if data else None
-        if layer:
-            yield coding, m.start(), m.end(), layer, None
+        for coding, layer in contents(data, most):
+            yield coding[:-1], m.start(), m.end(), layer, None
 
 
 def scan(text: str | None) -> list[tuple[int, str, int]]:

@@ -260,6 +260,28 @@ def test_layers_are_unwrapped(hidden):
     assert "hunter2" not in secret_scan.mask(text) and secret_scan.mask(text).endswith(" end")
 
 
+def b64(data):
+    return base64.b64encode(data).decode()
+
+
+@pytest.mark.parametrize(
+    "data",
+    [
+        gzip.compress(gzip.compress(P.encode())),
+        gzip.compress(zlib.compress(P.encode())),
+        zlib.compress(gzip.compress(zlib.compress(b64(P.encode()).encode()))),
+        P.encode("utf-16"),
+        b"\xff" + P.encode("utf-16-be"),
+        gzip.compress(P.encode("utf-16-le")),
+        b"\x00\x01" + P.encode() + b"\xff\xfe\x80",
+        b"x\x9c " + P.encode(),
+    ],
+)
+def test_bytes_are_inflated_to_the_end_and_read_whatever_they_hold(data):
+    assert "assign" in {kind.split(".")[-1] for _, kind, _ in secret_scan.scan(f"go {b64(data)} end")}
+    assert secret_scan.mask(f"go {b64(data)} end") == "go [SECRET] end"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("ab=%4\\u0A:/+Z token"), max_size=120))
 def test_any_text_can_be_scanned(text):
