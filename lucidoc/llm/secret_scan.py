@@ -3,14 +3,14 @@
 Every layer of a text is scanned: the text itself, then what its URL-escaped, backslash-escaped,
 base64 and compressed regions hold, and so on until no layer yields a new one. Bytes are inflated as long as they begin
 like a compressed stream, and read with a character for each byte (and as UTF-16), so none are passed over. Decoded layers keep
-a map to code points of the whole text, so a find inside them becomes a span of the text.
+a map to code points of the whole text, so a find inside them becomes a span of the text. Escapes are decoded over a whole
+layer, base64 over line breaks. A find counts once, for the first layer that shows it.
 A layer seen before (by digest, with its place) isn't decoded again, which ends cycles.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -29,10 +29,11 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile("AKIA[A-Z0-9]{12,}")
 HEX = re.compile("[0-9a-f]{32,}")
 
-TOKEN = re.compile(r"[^\s\"'<>]+")
-BLOCK = re.compile(r"\S+")
-ESCAPES = re.compile(r"\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})")
+URL = re.compile("(?:%[0-9A-Fa-f]{2})+")
+#: Runs of the alphabet, also over single line breaks (and the blanks that indent the next line).
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++[\x20\t]*+\r?\n[\x20\t]*+)++[A-Za-z0-9+/_-]++={0,2}")
+LINE = re.compile("[A-Za-z0-9+/_-]+=*")
 PACKED = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
 
 
@@ -82,37 +83,39 @@ def contents(data: bytes, most: int) -> Iterator[tuple[str, str]]:
         data = unpacked(data, most) if data[:2] in PACKED else None
 
 
-def unescape_url(region: str) -> tuple[str, list[int]]:
-    """The region without percent escapes, and where each of its characters came from."""
-    out, at, i = [], [], 0
-    while i < len(region):
-        j = i
-        while j + 2 < len(region) and region[j] == "%" and re.fullmatch("[0-9A-Fa-f]{2}", region[j + 1 : j + 3]):
-            j += 3
-        if j > i:
-            raw = bytes.fromhex(region[i:j].replace("%", ""))
-            text = raw.decode("utf-8", "replace")
-            done = 0
-            for c in text:
-                out.append(c)
-                at.append(i + 3 * done)
-                done = min(len(raw) - 1, done + (1 if c == "�" else len(c.encode())))
-            i = j
-        else:
-            out.append(region[i])
-            at.append(i)
-            i += 1
-    return "".join(out), at
+#: Where the characters of a decoded layer came from: the start of each, and its end.
+Places = tuple[list[int], list[int]]
+
+
+def unescape_url(text: str) -> tuple[str, Places]:
+    """The text without percent escapes, and where each of its characters came from."""
+    out, starts, stops, i = [], [], [], 0
+    for m in URL.finditer(text):
+        out += text[i : m.start()]
+        starts += range(i, m.start())
+        stops += range(i + 1, m.start() + 1)
+        i = m.start()
+        for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+            bad = 0xDC80 <= ord(c) <= 0xDCFF  # a byte that isn't UTF-8
+            out.append(chr(ord(c) - 0xDC00) if bad else c)
+            starts.append(i)
+            i += 3 * (1 if bad else len(c.encode()))
+            stops.append(i)
+    out += text[i:]
+    starts += range(i, len(text))
+    stops += range(i + 1, len(text) + 1)
+    return "".join(out), (starts, stops)
 
 
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\([nrt\"'\\/])")
 
 
-def unescape_backslash(region: str) -> tuple[str, list[int]]:
-    out, at, i = [], [], 0
-    for m in ESCAPE.finditer(region):
-        out += region[i : m.start()]
-        at += range(i, m.start())
+def unescape_backslash(text: str) -> tuple[str, Places]:
+    out, starts, stops, i = [], [], [], 0
+    for m in ESCAPE.finditer(text):
+        out += text[i : m.start()]
+        starts += range(i, m.start())
+        stops += range(i + 1, m.start() + 1)
         code = next((g for g in m.groups()[:3] if g), None)
         if code is None:
             c = {"n": "\n", "r": "\r", "t": "\t"}.get(m[4], m[4])
@@ -120,38 +123,51 @@ def unescape_backslash(region: str) -> tuple[str, list[int]]:
             n = int(code, 16)
             c = chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else "�"
         out.append(c)
-        at.append(m.start())
+        starts.append(m.start())
         i = m.end()
-    out += region[i:]
-    at += range(i, len(region))
-    return "".join(out), at
+        stops.append(i)
+    out += text[i:]
+    starts += range(i, len(text))
+    stops += range(i + 1, len(text) + 1)
+    return "".join(out), (starts, stops)
+
+
+def decoded(run: str) -> bytes:
+    """The bytes of a run of the base64 alphabet, common or URL-safe; what is left over at its end goes."""
+    body = run.rstrip("=").translate({45: 43, 95: 47})
+    if len(body) % 4 == 1:
+        body = body[:-1]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
 def layers(text: str, most: int = 10_000_000):
-    """The layers that the regions of a text hold: (coding, start, end, layer, positions or None).
+    """The layers that the regions of a text hold: (coding, start, end, layer, places or None).
 
-    Without positions, the whole region stands for every place in the layer.
+    Escapes are decoded over the whole text, so that what stands around them is read with them. Without places,
+    the whole region stands for every place in the layer; in base64 of several lines the lines do.
     """
-    if "%" in text:
-        for m in TOKEN.finditer(text):
-            layer, at = unescape_url(m[0]) if "%" in m[0] else (m[0], [])
-            if layer != m[0]:
-                yield "url", m.start(), m.end(), layer, at
-    if "\\" in text:
-        for m in BLOCK.finditer(text):
-            if ESCAPES.search(m[0]):
-                layer, at = unescape_backslash(m[0])
-                yield "unicode", m.start(), m.end(), layer, at
+    if "%" in text and URL.search(text):
+        yield "url", 0, len(text), *unescape_url(text)
+    if "\\" in text and ESCAPE.search(text):
+        yield "unicode", 0, len(text), *unescape_backslash(text)
     for m in BASE64.finditer(text):
-        body = m[0].rstrip("=").translate({45: 43, 95: 47})
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        for coding, layer in contents(data, most):
+        for coding, layer in contents(decoded(m[0]), most):
             yield coding[:-1], m.start(), m.end(), layer, None
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            lines = [(x.start() + m.start(), x.end() + m.start(), x[0]) for x in LINE.finditer(m[0])]
+            run = "".join(x for _, _, x in lines)
+            if len(run) < 16:
+                continue
+            starts = [a for a, b, _ in lines for _ in range(a, b)]
+            stops = [b for a, b, _ in lines for _ in range(a, b)]
+            for coding, layer in contents(decoded(run), most):
+                places = None
+                if coding == "base64.":
+                    # The byte i has bits of the characters 4 i / 3 and 4 (i + 1) / 3, rounded down and up.
+                    n = len(layer)
+                    places = [starts[4 * i // 3] for i in range(n)], [stops[(4 * i + 3) // 3] for i in range(n)]
+                yield coding[:-1], m.start(), m.end(), layer, places
 
 
 def scan(text: str | None) -> list[tuple[int, str, int]]:
@@ -160,31 +176,36 @@ def scan(text: str | None) -> list[tuple[int, str, int]]:
     if not text:
         return []
     found: set[tuple[int, str, int]] = set()
+    told: set[tuple[int, int, int]] = set()
     seen: set[tuple] = set()
-    # Codings, layer, where each of its characters is in the text (None: as in the text, or all at the span), its span.
+    # Codings, layer, where its characters are in the text (None: as in the text, or all at the span), its span.
     todo = deque([("", text, None, (0, len(text)))])
     while todo:
-        codings, layer, at, span = todo.popleft()
+        codings, layer, places, span = todo.popleft()
 
         def place(i: int, j: int) -> tuple[int, int]:
             if not codings:
                 return i, j
-            return span if at is None else (at[i], at[j] if j < len(at) else span[1])
+            return span if places is None else (places[0][i], places[1][j - 1])
 
         for start, kind, end in finds(layer):
             a, b = place(start, end)
-            found.add((a, f"{codings}{KINDS[kind]}", b))
-        for coding, start, end, inner, positions in layers(layer):
+            if (a, kind, b) not in told:  # what a layer leaves as it was is its outer layer's find
+                told.add((a, kind, b))
+                found.add((a, f"{codings}{KINDS[kind]}", b))
+        for coding, start, end, inner, within in layers(layer):
+            if not inner:
+                continue
             a, b = place(start, end)
             key = (hashlib.blake2b(inner.encode("utf-8", "surrogatepass"), digest_size=16).digest(), a, b)
             if key in seen:
                 continue
             seen.add(key)
-            if positions is None or (codings and at is None):
-                positions = None
-            else:
-                positions = [place(start + p, start + p)[0] for p in positions] if codings else [start + p for p in positions]
-            todo.append((f"{codings}{coding}.", inner, positions, (a, b)))
+            if codings and places is None:
+                within = None
+            elif within is not None and codings:
+                within = [places[0][p] for p in within[0]], [places[1][p - 1] for p in within[1]]
+            todo.append((f"{codings}{coding}.", inner, within, (a, b)))
     return sorted(found, key=lambda f: (f[0], KINDS.index(f[1]) if f[1] in KINDS else len(KINDS), f[1], f[2]))
 
 

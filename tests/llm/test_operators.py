@@ -282,6 +282,31 @@ def test_bytes_are_inflated_to_the_end_and_read_whatever_they_hold(data):
     assert secret_scan.mask(f"go {b64(data)} end") == "go [SECRET] end"
 
 
+MIME = base64.encodebytes(f"{'x' * 50} {P} {'y' * 90}".encode()).decode().rstrip()
+
+
+@pytest.mark.parametrize(
+    ("text", "masked"),
+    [
+        ('{"pass\\u0077ord": "hunter2hunter2"}', '{"[SECRET]"}'),
+        ('go token%3D"abcdefgh12" end', 'go [SECRET]" end'),
+        ("password: \\u0068unter2hunter2 end", "[SECRET] end"),
+        ('"{\\"token\\": \\"abcdefgh12\\"}"', '"{\\"[SECRET]\\"}"'),
+        ("%E2%82 é%C3%A9 password%3Dhunter2hunter2%20end", "%E2%82 é%C3%A9 [SECRET]%20end"),
+        (f"go: {MIME} end", "go: [SECRET]" + MIME[MIME.index("\n", 80) :] + " end"),
+    ],
+)
+def test_escapes_are_read_with_what_is_around_them(text, masked):
+    assert secret_scan.mask(text) == masked
+
+
+def test_wrapped_base64_is_read_over_its_lines():
+    noise = "".join(f"{i * i:x} " for i in range(99))
+    for data in (gzip.compress(f"{noise} {P}".encode()), f"{'x' * 50} {P}".encode(), f"{'x' * 50} {P}".encode() * 3):
+        for wrapped in (base64.encodebytes(data).decode(), base64.encodebytes(data).decode().replace("\n", "\r\n  ")):
+            assert any(kind.endswith("assign") for _, kind, _ in secret_scan.scan(f"go: {wrapped}\n end"))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("ab=%4\\u0A:/+Z token"), max_size=120))
 def test_any_text_can_be_scanned(text):
