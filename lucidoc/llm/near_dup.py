@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -196,22 +197,24 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """node and label (least node reachable) of every node of the edges (a, b).
 
-    Each round takes the least label among neighbours, then the label's label, so chains shorten
-    by doubling; each round is a table, which cuts lineage.
+    Each round takes the least label among neighbours, for the node and for its old label and all who have it,
+    then the label's label. So whole regions join at once, and long chains in any order of ids take rounds
+    in proportion to the logarithm of their length; it goes on until nothing changes. Tables cut lineage.
     """
-    spark = edges.sparkSession
     both = edges.select("a", "b").union(edges.select("b", "a"))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
-    for k in range(1, 100):
+    for k in count(1):
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         low = labels.join(near, "node").select("node", F.least("label", "m").alias("low"), F.col("label").alias("was"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        after = low.join(jump, "low", "left").select("node", F.least("low", "far").alias("label"), "was")
-        after = stored(after, folder, f"{name}-{k}")
+        hooks = low.groupBy("was").agg(F.min("low").alias("hook"))
+        own = hooks.select(F.col("was").alias("node"), F.col("hook").alias("own"))
+        up = low.join(hooks, "was").join(own, "node", "left").select("node", F.least("low", "hook", "own").alias("up"), "was")
+        up = stored(up, folder, f"{name}-up-{k}")
+        jump = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
+        after = stored(up.join(jump, "up").select("node", F.col("far").alias("label"), "was"), folder, f"{name}-{k}")
         labels = after.select("node", "label")
         if after.filter(F.col("label") != F.col("was")).isEmpty():
             return labels
-    raise RuntimeError("components didn't settle")
 
 
 class NearDuplicates:

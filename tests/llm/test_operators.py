@@ -211,6 +211,24 @@ def test_near_duplicates_in_a_large_group(spark):
     assert bag(got) == bag(want) and 1 < sum(w[3] for w in want) < 150
 
 
+def test_components_of_a_long_chain_in_any_order(spark, tmp_path, monkeypatch):
+    import random
+
+    order = list(range(800))
+    random.Random(3).shuffle(order)
+    links = [(a + 1000 * part, b + 1000 * part) for part in (0, 1) for a, b in zip(order, order[1:])]
+    names, store = [], near_dup.stored
+
+    def counted(df, folder, name, *more):
+        names.append(name)
+        assert len(names) <= 30
+        return store(df, folder, name, *more)
+
+    monkeypatch.setattr(near_dup, "stored", counted)
+    got = near_dup.components(spark.createDataFrame(links, "a long, b long"), str(tmp_path), "chain").collect()
+    assert sorted(map(tuple, got)) == [(n + 1000 * part, 1000 * part) for part in (0, 1) for n in range(800)]
+
+
 def test_estimates_and_merging():
     r = np.random.default_rng(1)
     for j in (0.3, 0.8):
