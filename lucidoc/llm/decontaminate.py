@@ -59,7 +59,8 @@ def benchmark_shingles(benchmark: DataFrame, window: int) -> DataFrame:
 
 def matches(docs: DataFrame, shingles: DataFrame, few: bool, widths: list[int]) -> DataFrame:
     """A row for each document position at which a benchmark shingle stands, with the shingle's key h,
-    and at least one row for each document (at its start, h null where nothing matches)."""
+    and a row for each document: with few shingles that of its start (one for each width, h null where nothing matches),
+    otherwise one at position -1."""
     base = docs.select("doc_id", F.xxhash64("doc_id").alias("k1"), F.xxhash64(F.lit("t"), "text").alias("k2"), words_of(F.col("text")).alias("words"))
     base = base.withColumn("n_words", F.size("words"))
     keep = ["doc_id", *KEY, "n_words"]
@@ -78,7 +79,8 @@ def matches(docs: DataFrame, shingles: DataFrame, few: bool, widths: list[int])
         joined = left.join(F.broadcast(b), (F.col("rh") == F.col("bh")) & same, "left").withColumn("h", F.col("bh"))
         return joined.filter(F.col("found") | (F.coalesce("pos", F.lit(0)) == 0)).select(*out)
     inner = left.filter(F.col("rh").isNotNull()).join(b, (F.col("rh") == F.col("bh")) & same).withColumn("h", F.col("bh")).select(*out)
-    return inner.unionByName(base.select(*keep, F.lit(0).alias("pos"), F.lit(None).cast("long").alias("h")))
+    # The document's own row stands at -1, where no shingle does.
+    return inner.unionByName(base.select(*keep, F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("h")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -125,10 +127,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     by_doc = covered.groupBy(*KEY).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).cast("long").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("items")
     )
-    # One row for each input row: matches() keeps a row at position 0, and repeated inputs repeat it.
-    every = found.filter(F.col("pos") == 0).select("doc_id", *KEY, "n_words")
-    if len(size[1]) > 1:  # a position has a row for each width
-        every = found.filter(F.col("pos") == 0).groupBy(*KEY, "doc_id", "n_words").agg(F.count("*").alias("c"))
+    # One row for each input row: matches() keeps a row of each, and repeated inputs repeat it.
+    every = found.filter(F.col("pos") == (0 if few else -1)).select("doc_id", *KEY, "n_words")
+    if few and len(size[1]) > 1:  # a position has a row for each width
+        every = every.groupBy(*KEY, "doc_id", "n_words").agg(F.count("*").alias("c"))
         raise_rows = docs.select(F.xxhash64("doc_id").alias("k1"), F.xxhash64(F.lit("t"), "text").alias("k2")).groupBy(*KEY).agg(F.count("*").alias("times"))
         every = every.join(raise_rows, list(KEY)).select("doc_id", *KEY, "n_words", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).drop("copy")
     joined = every.join(by_doc, list(KEY), "left")

@@ -366,6 +366,19 @@ def test_contamination(spark, rows):
     assert Counter(r.doc_id for r in left.collect()) == Counter(d for d, t in every if not brute.contamination(t, items)[3])
 
 
+def test_contamination_by_shuffling_gives_each_row_once(spark, monkeypatch):
+    """Items of one width, and documents that begin with their shingles."""
+    w = [f"q{i}" for i in range(20)]
+    items = [(1, " ".join(w)), (2, "a b c")]
+    rows = [(1, " ".join(w)), (2, " ".join(w)), (2, " ".join(w)), (3, "a b c d"), (4, "x a b c"), (5, None), (6, ""), (7, " ".join(w[:5])), (8, "a b")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = bag((d, *brute.contamination(t, items)) for d, t in rows)
+    for most in (decontaminate.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
+        got = decontaminate.contamination(brute.frame(spark, rows), table).select("doc_id", "n_words", "n_hit", "items", "contaminated")
+        assert bag(got.collect()) == want
+
+
 def test_contamination_without_a_benchmark(spark, rows):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.contamination(brute.frame(spark, rows), none).collect()
