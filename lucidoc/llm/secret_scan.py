@@ -11,8 +11,11 @@ A layer seen before (by digest, with its place) isn't decoded again, which ends
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
+import io
 import re
+import tempfile
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -34,7 +37,9 @@ URL = re.compile("(?:%[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]++[\x20\t]*+\r?\n[\x20\t]*+)++[A-Za-z0-9+/_-]++={0,2}")
 LINE = re.compile("[A-Za-z0-9+/_-]+=*")
-PACKED = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
+CHUNK = 1 << 18
+#: No find and no escaped or base64 region holds such a character, so a layer may be cut after it.
+APART = re.compile(r"[^A-Za-z0-9+/_.=:'\"%\\\s-]")
 
 
 def finds(text: str) -> list[tuple[int, int, str]]:
@@ -64,23 +69,107 @@ def readings(data: bytes) -> Iterator[tuple[str, str]]:
             yield "utf16.", data[offset:].decode(coding, "replace")
 
 
-def unpacked(data: bytes, most: int) -> bytes | None:
-    """Inflated bytes of a gzip or zlib stream, at most `most` of them (a guard against bombs)."""
-    try:
-        return zlib.decompressobj(47).decompress(data, most) or None
-    except zlib.error:
-        return None
-
-
-def contents(data: bytes, most: int) -> Iterator[tuple[str, str]]:
-    """The readings of the bytes and, while these are compressed, of what they inflate to, as (coding, text)."""
-    coding, known = "base64.", set()
-    while data and data not in known:
-        known.add(data)
-        for wide, text in readings(data):
-            yield coding + wide, text
-        coding = "packed." if coding == "base64." else coding + "packed."
-        data = unpacked(data, most) if data[:2] in PACKED else None
+def packed(head: bytes) -> bool:
+    """Whether bytes begin like a gzip or a zlib stream (of any window, without a preset dictionary)."""
+    if head[:2] == b"\x1f\x8b":
+        return True
+    return len(head) > 1 and head[0] & 15 == 8 and head[0] < 128 and not head[1] & 32 and (head[0] << 8 | head[1]) % 31 == 0
+
+
+def inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What a stream of gzip or zlib members inflates to, in chunks, as far as it is sound."""
+    engine, fresh = zlib.decompressobj(47), True
+    for data in chunks:
+        full = False
+        while data or full:
+            if fresh:  # zeros may pad members
+                data = data.lstrip(b"\0")
+                fresh = not data
+                if fresh:
+                    break
+            before = engine.copy()
+            try:
+                out = engine.decompress(data, CHUNK)
+            except zlib.error:
+                try:
+                    for i in range(len(data)):
+                        yield before.decompress(data[i : i + 1])
+                except zlib.error:
+                    return
+                return
+            yield out
+            full = len(out) == CHUNK
+            data = engine.unconsumed_tail
+            if engine.eof:
+                data, engine, fresh, full = engine.unused_data, zlib.decompressobj(47), True, False
+
+
+class Inflation:
+    """One level of a compressed source; as its chunks pass, notes their digest, where UTF-16 shows, and keeps them
+    (beyond 8 MB in a file) if they are compressed again."""
+
+    def __init__(self, source):
+        self.source, self.digest, self.wide, self.inner = source, hashlib.blake2b(digest_size=16), set(), None
+
+    def again(self) -> Iterator[bytes]:
+        self.source.seek(0)
+        return filter(None, inflated(iter(lambda: self.source.read(CHUNK), b"")))
+
+    def chunks(self) -> Iterator[bytes]:
+        head = tail = b""
+        n = 0
+        for chunk in self.again():
+            self.digest.update(chunk)
+            if len(head) < 2:
+                head += chunk
+                if packed(head):
+                    self.inner = tempfile.SpooledTemporaryFile(max_size=8_000_000)
+                    self.inner.write(head)
+            elif self.inner:
+                self.inner.write(chunk)
+            window = tail + chunk
+            for coding, run in WIDE:
+                self.wide |= {(coding, (n - len(tail) + m.start()) % 2) for m in run.finditer(window)}
+            n += len(chunk)
+            tail = window[-15:]
+            yield chunk
+
+
+def texts(chunks: Iterator[bytes], coding: str, offset: int = 0) -> Iterator[str]:
+    """The text of the chunks in pieces that part nothing; a stretch without a place to cut is kept whole."""
+    decoder, held = codecs.getincrementaldecoder(coding)("replace"), []
+    for chunk in chunks:
+        text = decoder.decode(chunk[offset:])
+        offset = 0
+        last = APART.search(text[::-1])
+        if last:
+            cut = len(text) - last.start()
+            yield "".join([*held, text[:cut]])
+            held, text = [], text[cut:]
+        held.append(text)
+    yield "".join([*held, decoder.decode(b"", True)])
+
+
+def contents(data: bytes) -> Iterator[tuple[str, str]]:
+    """The readings of the bytes and, while these are compressed, of what they inflate to, as (coding, text).
+
+    Streams are read to their end, in pieces, so memory stays small; a level that was there before ends the descent.
+    """
+    for wide, text in readings(data):
+        yield "base64." + wide, text
+    coding, known = "", {hashlib.blake2b(data, digest_size=16).digest()}
+    source = io.BytesIO(data) if packed(data) else None
+    while source:
+        coding += "packed."
+        level = Inflation(source)
+        for text in texts(level.chunks(), "latin-1"):
+            yield coding, text
+        for wide, offset in sorted(level.wide):
+            for text in texts(level.again(), wide, offset):
+                yield coding + "utf16.", text
+        source.close()
+        source = None if level.digest.digest() in known else level.inner
+        known.add(level.digest.digest())
 
 
 #: Where the characters of a decoded layer came from: the start of each, and its end.
@@ -140,7 +229,7 @@ def decoded(run: str) -> bytes:
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def layers(text: str, most: int = 10_000_000):
+def layers(text: str):
     """The layers that the regions of a text hold: (coding, start, end, layer, places or None).
 
     Escapes are decoded over the whole text, so that what stands around them is read with them. Without places,
@@ -151,7 +240,7 @@ def layers(text: str, most: int = 10_000_000):
     if "\\" in text and ESCAPE.search(text):
         yield "unicode", 0, len(text), *unescape_backslash(text)
     for m in BASE64.finditer(text):
-        for coding, layer in contents(decoded(m[0]), most):
+        for coding, layer in contents(decoded(m[0])):
             yield coding[:-1], m.start(), m.end(), layer, None
     if "\n" in text:
         for m in WRAPPED.finditer(text):
@@ -161,7 +250,7 @@ def layers(text: str, most: int = 10_000_000):
                 continue
             starts = [a for a, b, _ in lines for _ in range(a, b)]
             stops = [b for a, b, _ in lines for _ in range(a, b)]
-            for coding, layer in contents(decoded(run), most):
+            for coding, layer in contents(decoded(run)):
                 places = None
                 if coding == "base64.":
                     # The byte i has bits of the characters 4 i / 3 and 4 (i + 1) / 3, rounded down and up.
@@ -178,10 +267,9 @@ def scan(text: str | None) -> list[tuple[int, str, int]]:
     found: set[tuple[int, str, int]] = set()
     told: set[tuple[int, int, int]] = set()
     seen: set[tuple] = set()
-    # Codings, layer, where its characters are in the text (None: as in the text, or all at the span), its span.
-    todo = deque([("", text, None, (0, len(text)))])
-    while todo:
-        codings, layer, places, span = todo.popleft()
+
+    def inside(codings: str, layer: str, places: Places | None, span: tuple[int, int]) -> Iterator[tuple]:
+        """Notes the layer's finds; yields the layers it holds that are new."""
 
         def place(i: int, j: int) -> tuple[int, int]:
             if not codings:
@@ -205,7 +293,23 @@ def scan(text: str | None) -> list[tuple[int, str, int]]:
                 within = None
             elif within is not None and codings:
                 within = [places[0][p] for p in within[0]], [places[1][p - 1] for p in within[1]]
-            todo.append((f"{codings}{coding}.", inner, within, (a, b)))
+            yield f"{codings}{coding}.", inner, within, (a, b)
+
+    # A worklist of layers (codings, layer, where its characters are in the text or None: as in the text, or all at the
+    # span, its span), and the layer at work. An inflated piece has a worklist of its own, done before the next piece is made.
+    work = [[deque([("", text, None, (0, len(text)))]), iter(())]]
+    while work:
+        todo, current = work[-1]
+        item = next(current, None)
+        if item is None:
+            if todo:
+                work[-1][1] = inside(*todo.popleft())
+            else:
+                work.pop()
+        elif "packed" in item[0].split(".")[-3:]:
+            work.append([deque([item]), iter(())])
+        else:
+            todo.append(item)
     return sorted(found, key=lambda f: (f[0], KINDS.index(f[1]) if f[1] in KINDS else len(KINDS), f[1], f[2]))
 
 

@@ -325,6 +325,35 @@ def test_wrapped_base64_is_read_over_its_lines():
             assert any(kind.endswith("assign") for _, kind, _ in secret_scan.scan(f"go: {wrapped}\n end"))
 
 
+def small_window(data):
+    engine = zlib.compressobj(wbits=9)
+    return engine.compress(data) + engine.flush()
+
+
+@pytest.mark.parametrize(
+    "data",
+    [
+        gzip.compress("é, ".encode() * 4_000_000 + P.encode()),
+        gzip.compress(zlib.compress(b"-, " * 4_000_000 + P.encode(), 0)),
+        gzip.compress(b"nothing, ") + gzip.compress(P.encode()),
+        gzip.compress(b"pass") + b"\0" * 9 + gzip.compress(P[4:].encode()),
+        small_window(P.encode()),
+        gzip.compress(P.encode())[:-5] + b"wrong",
+        gzip.compress(("é" * 6_000_000 + P).encode("utf-16-le")),
+    ],
+    ids=["long", "stored", "members", "padded", "window", "checksum", "wide"],
+)
+def test_streams_are_read_to_their_end(data):
+    assert secret_scan.mask(f"go {b64(data)} end") == "go [SECRET] end"
+
+
+def test_pieces_of_a_stream_are_small_and_part_nothing():
+    long = "".join(f"{i}, {P}{i} " for i in range(200_000))
+    pieces = [t for c, t in secret_scan.contents(gzip.compress(long.encode())) if c == "packed."]
+    assert "".join(pieces) == long and max(map(len, pieces)) < 2 * secret_scan.CHUNK
+    assert sum(len(secret_scan.finds(t)) for t in pieces) == 200_000
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("ab=%4\\u0A:/+Z token"), max_size=120))
 def test_any_text_can_be_scanned(text):
