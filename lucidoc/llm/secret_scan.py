@@ -4,7 +4,7 @@ Every layer of a text is scanned: the text itself, then what its URL-escaped, ba
 base64 and compressed regions hold, and so on until no layer yields a new one. Bytes are inflated as long as they begin
 like a compressed stream, and read with a character for each byte (and as UTF-16), so none are passed over. Decoded layers keep
 a map to code points of the whole text, so a find inside them becomes a span of the text. Escapes are decoded over a whole
-layer, base64 over line breaks. A find counts once, for the first layer that shows it.
+layer, base64 over line breaks and at every alignment. A find counts once, for the first layer that shows it.
 A layer seen before (by digest, with its place) isn't decoded again, which ends cycles.
 """
 
@@ -229,6 +229,53 @@ def decoded(run: str) -> bytes:
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
+#: The start of a gzip or zlib stream somewhere in bytes.
+HEADER = re.compile(
+    rb"\x1f\x8b\x08|" + b"|".join(re.escape(bytes([a])) + b"[" + b"".join(re.escape(bytes([b])) for b in range(256) if packed(bytes([a, b]))) + b"]" for a in range(8, 128, 16)),
+    re.S,
+)
+
+
+def clean(data: bytes) -> bool:
+    """Whether the bytes are UTF-8 text without control characters."""
+    try:
+        return not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", data.decode())
+    except UnicodeDecodeError:
+        return False
+
+
+def inflates(data: bytes) -> bool:
+    engine = zlib.decompressobj(47)
+    try:
+        return bool(engine.decompress(data, CHUNK)) or engine.eof
+    except zlib.error:
+        return False
+
+
+def alignments(run: str) -> Iterator[tuple[int, str, str]]:
+    """What a run of base64 holds, as (characters left out at its start, coding, text).
+
+    Unless all of it is text, something else from the alphabet, such as a path or a name, may stand in front and shift
+    it: one of four alignments is right for whatever follows. Streams may then begin anywhere in the bytes.
+    """
+    data = decoded(run)
+    for coding, text in contents(data):
+        yield 0, coding, text
+    if clean(data):
+        return
+    for k in range(4):
+        data = decoded(run[k:]) if k else data
+        if k:
+            for wide, text in readings(data):
+                yield k, "base64." + wide, text
+        for m in HEADER.finditer(data):
+            at = m.start()
+            if (k or at) and inflates(data[at : at + 256]):
+                for coding, text in contents(data[at:]):
+                    if coding.startswith("packed."):
+                        yield k, coding, text
+
+
 def layers(text: str):
     """The layers that the regions of a text hold: (coding, start, end, layer, places or None).
 
@@ -240,7 +287,7 @@ def layers(text: str):
     if "\\" in text and ESCAPE.search(text):
         yield "unicode", 0, len(text), *unescape_backslash(text)
     for m in BASE64.finditer(text):
-        for coding, layer in contents(decoded(m[0])):
+        for _, coding, layer in alignments(m[0]):
             yield coding[:-1], m.start(), m.end(), layer, None
     if "\n" in text:
         for m in WRAPPED.finditer(text):
@@ -250,12 +297,12 @@ def layers(text: str):
                 continue
             starts = [a for a, b, _ in lines for _ in range(a, b)]
             stops = [b for a, b, _ in lines for _ in range(a, b)]
-            for coding, layer in contents(decoded(run)):
+            for k, coding, layer in alignments(run):
                 places = None
                 if coding == "base64.":
-                    # The byte i has bits of the characters 4 i / 3 and 4 (i + 1) / 3, rounded down and up.
+                    # The byte i has bits of the characters from 4 i / 3 to 4 (i + 1) / 3.
                     n = len(layer)
-                    places = [starts[4 * i // 3] for i in range(n)], [stops[(4 * i + 3) // 3] for i in range(n)]
+                    places = [starts[k + 4 * i // 3] for i in range(n)], [stops[k + (4 * i + 3) // 3] for i in range(n)]
                 yield coding[:-1], m.start(), m.end(), layer, places
 
 

@@ -325,6 +325,19 @@ def test_wrapped_base64_is_read_over_its_lines():
             assert any(kind.endswith("assign") for _, kind, _ in secret_scan.scan(f"go: {wrapped}\n end"))
 
 
+@pytest.mark.parametrize("front", ["/files/", "key_", "id-", "a/b/c/", "x" * 21 + "_", "/", "below\n"])
+@pytest.mark.parametrize("data", [P.encode(), f"é {P} é".encode(), P.encode("utf-16-le"), gzip.compress(P.encode()), zlib.compress(P.encode()), gzip.compress(zlib.compress(P.encode()))])
+def test_what_stands_before_base64_does_not_hide_it(front, data):
+    hidden = b64(data).rstrip("=")
+    masked = secret_scan.mask(f"go {front}{hidden} end")
+    assert "[SECRET]" in masked and hidden not in masked and masked.endswith(" end")
+
+
+def test_joined_base64_is_read_part_by_part():
+    text = f"/{b64(b'a first text').rstrip('=')}/{b64(P.encode()).rstrip('=')}/x"
+    assert any(kind == "base64.assign" for _, kind, _ in secret_scan.scan(text))
+
+
 def small_window(data):
     engine = zlib.compressobj(wbits=9)
     return engine.compress(data) + engine.flush()
