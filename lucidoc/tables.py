@@ -2,24 +2,45 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CHECKPOINTS = "spark.checkpoint.dir"
+
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; it goes when the application ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lucidoc-checkpoints"
+    """A new folder in the shared checkpoint folder; it goes when the application ends.
+
+    Where the setting is missing, a session on one machine uses its temporary folder; a cluster has none that all see.
+    """
+    base = spark.conf.get(CHECKPOINTS, None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError(f"set {CHECKPOINTS} to a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/lucidoc-checkpoints"
     path = f"{base.rstrip('/')}/lucidoc-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    where, files = _place(spark, path)
     files.mkdirs(where)
     files.deleteOnExit(where)
     return path
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     """The rows as a Parquet table, which cuts lineage, keeps later plans small and outlives executors."""
     path = f"{folder}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discarded(spark: SparkSession, folder: str, *names: str) -> None:
+    """Removes tables that nothing reads any more; a missing one is no error."""
+    for name in names:
+        where, files = _place(spark, f"{folder}/{name}")
+        files.delete(where, True)
