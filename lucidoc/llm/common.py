@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..shipping import ship
 
 #: Words are runs of anything but the six ASCII blanks.
@@ -67,16 +67,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder; it goes when the application ends."""
     prepare(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/lucidoc-checkpoints"
-    path = f"{base.rstrip('/')}/lucidoc-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(where)
-    files.deleteOnExit(where)
-    return path
+    return tables.scratch(spark)
 
 
 def stored(df: DataFrame, folder: str, name: str, all_tasks: bool = False) -> DataFrame:
@@ -85,10 +76,43 @@ def stored(df: DataFrame, folder: str, name: str, all_tasks: bool = False) -> Da
     Each file costs the file system several calls, and some stores a process each; so twice as many tasks as there
     are cores write it, each going through its partitions in turn. `all_tasks` keeps the partitions apart, for long work.
     """
-    path = f"{folder}/{name}"
     most = 2 * df.sparkSession.sparkContext.defaultParallelism
-    (df if all_tasks else df.coalesce(most)).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return tables.stored(df if all_tasks else df.coalesce(most), folder, name)
+
+
+def unlike(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column is called so (in either case)."""
+    there, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in there:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def weighed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The keys of `df` (n rows) that hold more than their share, as (key, pieces): into how many pieces to deal out their rows.
+
+    A share is a hundred-thousandth of all rows, and 1000 at least, so there are at most 100,000 such keys: small enough to broadcast.
+    """
+    share = max(1000, n // 100_000)
+    return df.groupBy(key).agg(F.count("*").alias("pieces")).filter(F.col("pieces") > share).select(key, F.ceil(F.col("pieces") / share).cast("int").alias("pieces"))
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, n: int, how: str = "inner") -> DataFrame:
+    """left.join(right, key), where right has one row for each key and left may hold a large part of its n rows under one.
+
+    The rows of such a key are dealt to tasks by a hash of `by` as well, and right's row is repeated for each piece. `left` is
+    read twice, so it should be stored. `how` is inner or left; a null key matches nothing.
+    """
+    if n <= 20_000:
+        return left.join(right, key, how)
+    pieces, piece = unlike([*left.columns, *right.columns], "pieces", "piece")
+    hot = weighed(left.select(key), key, n).withColumnRenamed("pieces", pieces)
+    many = F.coalesce(pieces, F.lit(1))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn(piece, F.pmod(F.xxhash64(by), many).cast("int")).drop(pieces)
+    copies = right.join(F.broadcast(hot), key, "left").withColumn(piece, F.explode(F.sequence(F.lit(0), many - 1))).drop(pieces)
+    return dealt.join(copies, [key, piece], how).drop(piece)
 
 
 def ascii_lower(text: Column) -> Column:

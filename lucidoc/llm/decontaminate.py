@@ -1,26 +1,29 @@
 """Benchmark decontamination as a prefix-filtered set join on shingles of words.
 
-An item's windows (of `window` words, or the whole of a shorter item) are sets of shingles at known
-offsets. One pass over the documents joins their shingles with those of the benchmark, exactly,
-and yields the documents' matches, from which each shingle's frequency is counted. A window can
-only occur where its rarest shingle does, so only that prefix proposes alignments of an item
-with a document, under the bounds of position and length. A proposal is then verified: the item's
-matched positions at that alignment must hold runs as long as a window.
-
-Only DataFrame functions are used. The benchmark's shingles are broadcast when they are counted
-to be few; otherwise the join shuffles. Groups are a document's own matches.
+An item's windows (of `window` words, or the whole of a shorter item) are sets of shingles at known offsets. A window
+occurs only where all of its shingles do, so one of them is the prefix that must match: the rarest, by the number of
+items that hold it. Neighbouring windows share it, so prefixes are a fraction of the benchmark's shingles.
+
+One pass over the documents meets their shingles with the prefixes alone. A match proposes an alignment, which the bounds of
+position and length test, and the words at that place, as many as the window has, are looked up among the windows and compared
+with them. So neither documents' shingles nor their words are shuffled; what is written are true occurrences and a marker for
+each document.
+
+Prefixes and windows are broadcast in blocks of at most BLOCK windows, with a pass for each block: the bound holds for
+benchmarks of any size. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, scratch, stored
+from .common import ascii_lower, hot_join, scratch, stored, unlike
 
-WINDOW, SHINGLE, BROADCAST_ROWS = 13, 3, 500_000
+#: Words of a window and of a shingle, and windows of a block (some 13 words each, so about 15 MB).
+WINDOW, SHINGLE, BLOCK = 13, 3, 100_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-KEY = ("k1", "k2")
+ROW = ("k1", "k2")
 
 
 def words_of(text: Column) -> Column:
@@ -28,116 +31,110 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def shingles_at(words: Column, size: Column | None = None) -> Column:
-    """An array with an element for each position: the word and the two after it (null beyond the end)."""
-    n = F.size(words)
-    return F.arrays_zip(words.alias("w1"), F.slice(words, 2, F.greatest(n, F.lit(1))).alias("w2"), F.slice(words, 3, F.greatest(n, F.lit(1))).alias("w3"))
+def shingle_at(words: Column, at: Column, width: int) -> Column:
+    """A key for the `width` words from a position on; whoever uses it looks whether there are as many."""
+    return F.xxhash64(F.lit(width), *[F.get(words, at + i) for i in range(width)])
+
+
+def by_width(width: Column, make) -> Column:
+    """make(w) for the width w that a column holds, from 1 to that of a shingle."""
+    out = F.when(width == 1, make(1))
+    for w in range(2, SHINGLE + 1):
+        out = out.when(width == w, make(w))
+    return out
+
 
+def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """A row for each window of each item: item_id (a string), L and words of the window, s (width of its shingles) and
+    its prefix: key h and offset in the window. Items without words have none."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0).distinct()
+    k = F.size("words")
+    items = items.select("item_id", "words", F.least(k, F.lit(window)).alias("L"), F.least(k, F.lit(min(window, SHINGLE))).alias("s"))
+    each = items.select("item_id", "words", "s", F.explode(F.sequence(F.lit(0), k - F.col("s"))).alias("at"))
+    keys = each.select("item_id", F.xxhash64("words").alias("version"), by_width(F.col("s"), lambda w: shingle_at(F.col("words"), F.col("at"), w)).alias("h"))
+    rarity = keys.distinct().groupBy("h").agg(F.count("*").alias("held"))
+    windows = items.select("item_id", "L", "s", F.explode(F.transform(F.sequence(F.lit(0), k - F.col("L")), lambda i: F.slice("words", i + 1, F.col("L")))).alias("words"))
+    inside = windows.select("L", "s", "words").distinct().withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("L") - F.col("s"))))
+    inside = inside.withColumn("h", by_width(F.col("s"), lambda w: shingle_at(F.col("words"), F.col("offset"), w))).join(rarity, "h")
+    rarest = inside.groupBy("L", "s", "words").agg(F.min(F.struct("held", "h", "offset")).alias("r"))
+    return windows.distinct().join(rarest.select("words", F.col("r.h").alias("h"), F.col("r.offset").alias("offset")), "words")
 
-def hashed(width: int) -> Column:
-    """A key for the first `width` words of a position; null where fewer are left."""
-    names = [f"w{i + 1}" for i in range(width)]
-    return F.when(F.col(names[-1]).isNotNull(), F.xxhash64(F.lit(width), *names))
 
+def window_key(words: Column) -> Column:
+    return F.xxhash64(F.size(words), words)
 
-def benchmark_shingles(benchmark: DataFrame, window: int) -> DataFrame:
-    """item_id, ipos, words of the shingle, its width s, item length k and window length L.
 
-    Items without words have no rows. Shorter items have shingles as long as themselves at most.
+def occurrences(docs: DataFrame, prefixes: DataFrame, windows: DataFrame, widths: list[int], marked: bool) -> DataFrame:
+    """doc_id, k1, k2, n_words, start, L and wid of each place of a document at which a window of the block stands, and with
+    `marked` a row for each document whose wid is null.
+
+    All joins are with broadcast tables, so a position's row is never written unless it is an occurrence, and a
+    document's words are held once, by reference, while its positions are gone through.
     """
-    words = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words"))
-    items = words.filter(F.size("words") > 0).select(
-        "item_id", "words", F.size("words").alias("k"), F.least(F.size("words"), F.lit(window)).alias("L"), F.least(F.size("words"), F.lit(SHINGLE)).alias("s")
-    ).distinct()
-    # A repeated id with another text is another item for matching: the hash keeps their positions apart.
-    rows = items.select("item_id", F.xxhash64("words").alias("version"), "k", "L", "s", F.posexplode(shingles_at(F.col("words"))).alias("ipos", "x"))
-    rows = rows.select("item_id", "version", "k", "L", "s", "ipos", "x.*").filter(F.col("ipos") <= F.col("k") - F.col("s"))
-    cut = [F.when(F.col("s") >= i, F.col(f"w{i}")).alias(f"w{i}") for i in (1, 2, 3)]
-    key = F.when(F.col("s") == 1, hashed(1)).when(F.col("s") == 2, hashed(2)).otherwise(hashed(3))
-    return rows.withColumn("h", key).select("item_id", "version", "k", "L", "s", "ipos", "h", *cut)
-
-
-def matches(docs: DataFrame, shingles: DataFrame, few: bool, widths: list[int]) -> DataFrame:
-    """A row for each document position at which a benchmark shingle stands, with the shingle's key h,
-    and a row for each document: with few shingles that of its start (one for each width, h null where nothing matches),
-    otherwise one at position -1."""
     base = docs.select("doc_id", F.xxhash64("doc_id").alias("k1"), F.xxhash64(F.lit("t"), "text").alias("k2"), words_of(F.col("text")).alias("words"))
     base = base.withColumn("n_words", F.size("words"))
-    keep = ["doc_id", *KEY, "n_words"]
-    rows = base.select(*keep, F.posexplode_outer(shingles_at(F.col("words"))).alias("pos", "x")).select(*keep, "pos", "x.*")
-    if widths == [SHINGLE]:
-        rows = rows.withColumn("h", hashed(SHINGLE)).withColumn("s", F.lit(SHINGLE))
+    first = -1 if marked else 0
+    if not marked:
+        base = base.filter("n_words > 0")
+    rows = base.withColumn("pos", F.explode(F.sequence(F.lit(first), F.col("n_words") - 1)))
+    here = lambda w: F.when((F.col("pos") >= 0) & (F.col("pos") + w <= F.col("n_words")), shingle_at(F.col("words"), F.col("pos"), w))
+    if len(widths) == 1:
+        rows = rows.withColumn("h", here(widths[0]))
     else:
-        each = F.array(*[F.struct(F.lit(w).alias("s"), hashed(w).alias("h")) for w in widths])
-        rows = rows.select(*keep, "pos", "w1", "w2", "w3", F.explode(each).alias("e")).select(*keep, "pos", "w1", "w2", "w3", "e.s", "e.h")
-    b = shingles.select("h", *[F.col(f"w{i}").alias(f"b{i}") for i in (1, 2, 3)]).distinct().withColumn("found", F.lit(True))
-    same = (F.col("w1") == F.col("b1")) & ((F.col("s") < 2) | (F.col("w2") == F.col("b2"))) & ((F.col("s") < 3) | (F.col("w3") == F.col("b3")))
-    out = [*keep, F.coalesce("pos", F.lit(0)).alias("pos"), F.when(F.col("found"), F.col("h")).alias("h")]
-    left = rows.withColumnRenamed("h", "rh")
-    b = b.withColumnRenamed("h", "bh")
-    if few:
-        joined = left.join(F.broadcast(b), (F.col("rh") == F.col("bh")) & same, "left").withColumn("h", F.col("bh"))
-        return joined.filter(F.col("found") | (F.coalesce("pos", F.lit(0)) == 0)).select(*out)
-    inner = left.filter(F.col("rh").isNotNull()).join(b, (F.col("rh") == F.col("bh")) & same).withColumn("h", F.col("bh")).select(*out)
-    # The document's own row stands at -1, where no shingle does.
-    return inner.unionByName(base.select(*keep, F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("h")))
+        rows = rows.withColumn("s", F.explode(F.array(*map(F.lit, widths)))).filter((F.col("pos") >= 0) | (F.col("s") == widths[0]))
+        rows = rows.withColumn("h", by_width(F.col("s"), here))
+    marker = F.col("pos") < 0
+    met = rows.join(F.broadcast(prefixes), "h", "left").filter(marker | F.col("places").isNotNull())
+    met = met.withColumn("place", F.explode_outer("places")).withColumn("start", F.col("pos") - F.col("place.offset")).withColumn("L", F.col("place.L"))
+    met = met.filter(marker | ((F.col("start") >= 0) & (F.col("start") + F.col("L") <= F.col("n_words"))))
+    met = met.withColumn("there", F.slice("words", F.col("start") + 1, F.col("L"))).withColumn("key", window_key(F.col("there")))
+    right = windows.select(F.col("key").alias("wkey"), F.col("words").alias("wwords"), "wid")
+    found = met.join(F.broadcast(right), (F.col("key") == F.col("wkey")) & (F.col("there") == F.col("wwords")), "left")
+    return found.filter(marker | F.col("wid").isNotNull()).select("doc_id", *ROW, "n_words", "start", "L", "wid")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, hashes of id and text, n_words, n_hit, n_items, items (their ids as sorted strings) and
+    """doc_id, hashes of id and text (k1, k2), n_words, n_hit, n_items, items (their ids as sorted strings) and
     contaminated, for each row of `docs`.
 
     A word is hit if it stands inside an occurrence of an item's window; a document with a hit is contaminated when 20 * n_hit >= n_words. Null and empty texts have no
     words and are clean; items without words match nothing; items with a null id hit words but aren't
-    listed. Repeated rows get equal results; an empty table of either kind is fine; other columns are ignored.
+    listed; an id that comes with several texts is listed once. Repeated rows get equal results; an empty table of either kind
+    is fine; other columns are ignored, whatever they are called.
     """
     folder = scratch(docs.sparkSession)
-    shingles = stored(benchmark_shingles(benchmark, window), folder, "shingles")
-    size = shingles.agg(F.count("*"), F.collect_set("s")).head()
-    few = size[0] <= BROADCAST_ROWS
-    small = F.broadcast if few else lambda df: df
-    found = stored(matches(docs, shingles, few, sorted(size[1]) or [SHINGLE]), folder, "matches", all_tasks=True)
-    hits = found.filter(F.col("h").isNotNull()).select(*KEY, "n_words", "pos", "h")
-
-    # Rarity, and each window's rarest shingle: the prefix that must match.
-    rarity = hits.groupBy("h").agg(F.count("*").alias("frequency"))
-    item = ["item_id", "version"]
-    known = shingles.select(*item, "k", "L", "s", "ipos", "h").join(rarity, "h", "left").withColumn("frequency", F.coalesce("frequency", F.lit(0)))
-    first = F.greatest(F.lit(0), F.col("ipos") + F.col("s") - F.col("L"))
-    in_windows = known.withColumn("start", F.explode(F.sequence(first, F.least("ipos", F.col("k") - F.col("L")))))
-    rarest = in_windows.groupBy(*item, "start", "L").agg(F.min(F.struct("frequency", "ipos", "h")).alias("r")).filter(F.col("r.frequency") > 0)
-    prefixes = rarest.groupBy(*item, F.col("r.ipos").alias("ipos"), F.col("r.h").alias("h"), "L").agg(F.max("start").alias("latest"), F.min("start").alias("earliest"))
-
-    diagonal = F.col("pos") - F.col("ipos")
-    proposed = hits.join(small(prefixes), "h").withColumn("diagonal", diagonal)
-    # Length and position: one of the prefix's windows must lie inside the document.
-    proposed = proposed.filter((F.col("diagonal") + F.col("latest") >= 0) & (F.col("diagonal") + F.col("earliest") + F.col("L") <= F.col("n_words")))
-    alignment = [*KEY, *[F.coalesce(c, F.lit("")).alias(f"j_{c}") if c == "item_id" else F.col(c).alias(f"j_{c}") for c in item], "diagonal"]
-    proposed = proposed.select(*alignment).distinct()
-    aligned = hits.join(small(shingles.select("h", *item, "ipos", "k", "L", "s")), "h").withColumn("diagonal", diagonal)
-    aligned = aligned.select(*alignment, *item, "ipos", "k", "L", "s")
-    at = [*KEY, "j_item_id", "j_version", "diagonal"]
-    verified = aligned.join(proposed, at, "left_semi").groupBy(*at, *item, "k", "L", "s").agg(F.collect_set("ipos").alias("on"))
-    # A window from i holds if each of its L - s + 1 shingles matches there.
-    in_order = verified.withColumn("on", F.sort_array("on"))
-    runs = F.filter("on", lambda p, i: F.get(F.col("on"), i + F.col("L") - F.col("s")) == p + F.col("L") - F.col("s"))
-    held = in_order.withColumn("starts", runs).filter(F.size("starts") > 0)
-    covered = F.flatten(F.transform("starts", lambda p: F.sequence(F.col("diagonal") + p, F.col("diagonal") + p + F.col("L") - 1)))
-    covered = held.select(*KEY, "item_id", F.array_distinct(covered).alias("covered"))
-    by_doc = covered.groupBy(*KEY).agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).cast("long").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("items")
-    )
-    # One row for each input row: matches() keeps a row of each, and repeated inputs repeat it.
-    every = found.filter(F.col("pos") == (0 if few else -1)).select("doc_id", *KEY, "n_words")
-    if few and len(size[1]) > 1:  # a position has a row for each width
-        every = every.groupBy(*KEY, "doc_id", "n_words").agg(F.count("*").alias("c"))
-        raise_rows = docs.select(F.xxhash64("doc_id").alias("k1"), F.xxhash64(F.lit("t"), "text").alias("k2")).groupBy(*KEY).agg(F.count("*").alias("times"))
-        every = every.join(raise_rows, list(KEY)).select("doc_id", *KEY, "n_words", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).drop("copy")
-    joined = every.join(by_doc, list(KEY), "left")
+    each = stored(benchmark_windows(benchmark, window), folder, "item-windows")
+    windows = each.select("words", "L", "s", "h", "offset").distinct().withColumn("wid", F.monotonically_increasing_id())
+    windows = stored(windows.withColumn("key", window_key(F.col("words"))), folder, "windows")
+    size = windows.agg(F.count("*"), F.collect_set("s")).head()
+    widths, blocks = sorted(size[1]) or [SHINGLE], max(1, -(-size[0] // BLOCK))
+    found = None
+    for k in range(blocks):
+        own = windows.filter(F.pmod(F.xxhash64("h"), F.lit(blocks)) == k)
+        # At most window ** 2 places for a key, however many windows have it.
+        prefixes = own.groupBy("h").agg(F.collect_set(F.struct("offset", "L")).alias("places"))
+        part = stored(occurrences(docs, prefixes, own, widths, marked=k == 0), folder, f"found-{k}", all_tasks=True)
+        found = part if found is None else found.unionByName(part)
+    every = found.filter("wid IS NULL").select("doc_id", *ROW, "n_words")
+
+    # A document's hit words: its occurrences by place, each counted beyond the end of those before it.
+    places = found.filter("wid IS NOT NULL").select(*ROW, "start", "L", "wid").distinct()
+    end = F.col("start") + F.col("L")
+    before = Window.partitionBy(*ROW).orderBy("start", "L").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(before), F.lit(0))))
+    by_doc = places.withColumn("fresh", fresh).groupBy(*ROW).agg(F.sum("fresh").cast("long").alias("n_hit"), F.sort_array(F.collect_set("wid")).alias("wids"))
+    by_doc = stored(by_doc, folder, "by-document")
+    # Documents with the same windows have the same items, which are listed once for each such set.
+    of_window = each.join(windows.select("words", "wid"), "words").select("wid", "item_id").filter("item_id IS NOT NULL").distinct()
+    sets = by_doc.select("wids").distinct()
+    listed = sets.withColumn("wid", F.explode("wids")).join(of_window, "wid").groupBy("wids").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    by_doc = hot_join(by_doc, stored(listed, folder, "items-of-sets"), "wids", "k1", by_doc.count(), "left")
+
+    joined = every.join(by_doc, list(ROW), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return joined.select(
         "doc_id",
-        *KEY,
+        *ROW,
         F.col("n_words").cast("long").alias("n_words"),
         n_hit.alias("n_hit"),
         F.coalesce(F.size("items").cast("long"), F.lit(0)).alias("n_items"),
@@ -147,9 +144,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns."""
-    bad = contamination(docs, benchmark, window).filter("contaminated").select(F.col("k1").alias("bad_1"), F.col("k2").alias("bad_2")).distinct()
+    """The documents that aren't contaminated, with all their columns, whatever these are called.
+
+    Null and empty texts stay, rows that are repeated stay or go together, and an empty benchmark takes nothing away.
+    """
+    a, b = unlike(docs.columns, "bad_1", "bad_2")
+    bad = contamination(docs, benchmark, window).filter("contaminated").select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct()
     bad = stored(bad, scratch(docs.sparkSession), "contaminated")
     few = bad.count() <= 200_000  # 16 bytes each
-    same = (F.xxhash64("doc_id") == F.col("bad_1")) & (F.xxhash64(F.lit("t"), "text") == F.col("bad_2"))
+    same = (F.xxhash64("doc_id") == F.col(a)) & (F.xxhash64(F.lit("t"), "text") == F.col(b))
     return docs.join(F.broadcast(bad) if few else bad, same, "left_anti")

@@ -386,7 +386,7 @@ def test_masking_keeps_rows_and_columns(spark, rows):
 # 7 -----------------------------------------------------------------------------
 
 
-def test_contamination(spark, rows):
+def test_contamination(spark, rows, monkeypatch):
     w = [f"q{i}" for i in range(40)]
     items = [(1, " ".join(w[:20])), (2, " ".join(w[10:30])), (2, " ".join(w[10:30])), (3, "tiny item"), (4, "solo"), (5, None), (6, "!!"), (None, " ".join(w[25:40])), (7, "A B c d e f g h i j k l m"), (8, "É ß x"), (9, " ".join(w[:20]))]
     more = [(700, " ".join(w)), (701, "x " * 500 + " ".join(w[3:16])), (702, " ".join(w[:12])), (703, "Tiny, ITEM!"), (704, "solo"), (705, "a b c d e f g h i j k l m " * 3), (706, "é ß x"), (707, "É ß X"), (708, " ".join(w[5:38])), (708, " ".join(w[5:38]))]
@@ -395,30 +395,55 @@ def test_contamination(spark, rows):
     want = bag((d, *(x if i != 2 else x for i, x in enumerate(brute.contamination(t, items)))) for d, t in every)
     got = decontaminate.contamination(brute.frame(spark, every), table).select("doc_id", "n_words", "n_hit", "items", "contaminated")
     assert bag(got.collect()) == want
-    few = decontaminate.BROADCAST_ROWS
-    try:
-        decontaminate.BROADCAST_ROWS = 0  # the join that shuffles
-        got = decontaminate.contamination(brute.frame(spark, every), table).select("doc_id", "n_words", "n_hit", "items", "contaminated")
-        assert bag(got.collect()) == want
-    finally:
-        decontaminate.BROADCAST_ROWS = few
-    docs = brute.documents(spark, every)
+    monkeypatch.setattr(decontaminate, "BLOCK", 5)  # several passes
+    got = decontaminate.contamination(brute.frame(spark, every), table).select("doc_id", "n_words", "n_hit", "items", "contaminated")
+    assert bag(got.collect()) == want
+    docs = brute.frame(spark, every).withColumn("bad_1", F.lit(1)).withColumn("BAD_2", F.lit(2))
     left = decontaminate.decontaminated(docs, table)
     assert left.schema == docs.schema
     assert Counter(r.doc_id for r in left.collect()) == Counter(d for d, t in every if not brute.contamination(t, items)[3])
 
 
-def test_contamination_by_shuffling_gives_each_row_once(spark, monkeypatch):
-    """Items of one width, and documents that begin with their shingles."""
-    w = [f"q{i}" for i in range(20)]
-    items = [(1, " ".join(w)), (2, "a b c")]
-    rows = [(1, " ".join(w)), (2, " ".join(w)), (2, " ".join(w)), (3, "a b c d"), (4, "x a b c"), (5, None), (6, ""), (7, " ".join(w[:5])), (8, "a b")]
+LONG = " ".join(f"q{i}" for i in range(20))
+
+
+@pytest.mark.parametrize(
+    "items",
+    [[(1, LONG), (2, "a b c"), (3, "a b c d e")], [(1, "tiny item"), (2, "solo"), (3, "a b"), (None, "b c")], [(1, LONG), (2, "solo"), (3, "a b c d"), (4, "a b c x"), (5, LONG + " more")]],
+    ids=["three words or more", "fewer", "mixed"],
+)
+@pytest.mark.parametrize("block", [decontaminate.BLOCK, 2])
+def test_contamination_gives_each_row_once(spark, monkeypatch, items, block):
+    """Documents that begin and end with windows, hold them over one another, or are repeated."""
+    rows = [(1, LONG), (2, LONG), (2, LONG), (3, "a b c d"), (4, "x a b c"), (5, None), (6, ""), (7, LONG[:18]), (8, "a b"), (9, "solo tiny item solo"), (10, "a b a b c a b c x " * 9), (11, f"{LONG} {LONG} more")]
     table = spark.createDataFrame(items, "item_id long, text string")
-    want = bag((d, *brute.contamination(t, items)) for d, t in rows)
-    for most in (decontaminate.BROADCAST_ROWS, 0):
-        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
-        got = decontaminate.contamination(brute.frame(spark, rows), table).select("doc_id", "n_words", "n_hit", "items", "contaminated")
-        assert bag(got.collect()) == want
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    got = decontaminate.contamination(brute.frame(spark, rows), table).select("doc_id", "n_words", "n_hit", "items", "contaminated")
+    assert bag(got.collect()) == bag((d, *brute.contamination(t, items)) for d, t in rows)
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 5])
+def test_contamination_of_random_texts(spark, window):
+    import random
+
+    r = random.Random(window)
+    made = lambda letters, most: " ".join(r.choice(letters) for _ in range(r.randint(0, most)))
+    items, docs = [(i, made("ab", 9)) for i in range(4)], [(i, made("abcd", 30)) for i in range(80)]
+    got = decontaminate.contamination(brute.frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), window)
+    assert bag(got.select("doc_id", "n_words", "n_hit", "items", "contaminated").collect()) == bag((d, *brute.contamination(t, items, window)) for d, t in docs)
+
+
+def test_documents_meet_prefixes_alone(spark):
+    """Few of the benchmark's shingles are prefixes, and no join but with broadcast tables reads the documents."""
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(5)], "item_id long, text string")
+    windows = decontaminate.benchmark_windows(items, 13)
+    assert windows.count() == 5 * 48 and windows.select("h").distinct().count() < 5 * 58 / 3
+    keyed = windows.withColumn("wid", F.lit(1)).withColumn("key", decontaminate.window_key(F.col("words")))
+    prefixes = keyed.groupBy("h").agg(F.collect_set(F.struct("offset", "L")).alias("places"))
+    found = decontaminate.occurrences(brute.frame(spark), prefixes, keyed, [3], True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("BroadcastExchange")]
+    assert "BroadcastHashJoin" in above and "SortMergeJoin" not in above and "Exchange hash" not in above
 
 
 def test_contamination_without_a_benchmark(spark, rows):
