@@ -80,6 +80,9 @@ def stored(df: DataFrame, folder: str, name: str, all_tasks: bool = False) -> Da
     return tables.stored(df if all_tasks else df.coalesce(most), folder, name)
 
 
+discarded = tables.discarded
+
+
 def unlike(columns: list[str], *names: str) -> list[str]:
     """The names, each with underscores added until no column is called so (in either case)."""
     there, out = {c.lower() for c in columns}, []

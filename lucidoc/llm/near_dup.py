@@ -16,8 +16,8 @@
    enough places to be similar at all. So no link between components is lost there, and copies with many edits
    of their own, or texts with only a passage in common, make no pairs.
 
-Large groups never meet in one task: buckets are reduced by partial aggregation, joined with
-their leader, and skewed joins can be split.
+Large groups never meet in one task: buckets are reduced by partial aggregation, and the rows of a leader, a label or a
+shingle that has more than its share are dealt out over tasks, the other side's row being repeated for each.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import FOLD, WORDS, Memory, per_document, scratch, slices, stored
+from .common import FOLD, WORDS, Memory, discarded, hot_join, per_document, scratch, slices, stored, unlike, weighed
 
 BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
@@ -201,19 +201,25 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     then the label's label. So whole regions join at once, and long chains in any order of ids take rounds
     in proportion to the logarithm of their length; it goes on until nothing changes. Tables cut lineage.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a"))
+    spark = edges.sparkSession
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")), folder, f"{name}-both")
+    n = both.count()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
+    labels = stored(labels, folder, f"{name}-0")
     for k in count(1):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        low = labels.join(near, "node").select("node", F.least("label", "m").alias("low"), F.col("label").alias("was"))
+        of_b = labels.select(F.col("node").alias("b"), "label")
+        near = hot_join(both, of_b, "b", "a", n).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
+        low = stored(labels.join(near, "node").select("node", F.least("label", "m").alias("low"), F.col("label").alias("was")), folder, f"{name}-low-{k}")
         hooks = low.groupBy("was").agg(F.min("low").alias("hook"))
         own = hooks.select(F.col("was").alias("node"), F.col("hook").alias("own"))
-        up = low.join(hooks, "was").join(own, "node", "left").select("node", F.least("low", "hook", "own").alias("up"), "was")
+        up = hot_join(low, hooks, "was", "node", n).join(own, "node", "left").select("node", F.least("low", "hook", "own").alias("up"), "was")
         up = stored(up, folder, f"{name}-up-{k}")
         jump = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
-        after = stored(up.join(jump, "up").select("node", F.col("far").alias("label"), "was"), folder, f"{name}-{k}")
+        after = stored(hot_join(up, jump, "up", "node", n).select("node", F.col("far").alias("label"), "was"), folder, f"{name}-{k}")
         labels = after.select("node", "label")
-        if after.filter(F.col("label") != F.col("was")).isEmpty():
+        done = after.filter(F.col("label") != F.col("was")).isEmpty()
+        discarded(spark, folder, f"{name}-{k - 1}", f"{name}-low-{k}", f"{name}-up-{k}", *([f"{name}-both"] if done else []))
+        if done:
             return labels
 
 
@@ -224,9 +230,10 @@ class NearDuplicates:
         self.spark: SparkSession = docs.sparkSession
         self.docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
         self.size, self.percent = size, percent
-        self.folder = scratch(self.spark)
+        self.folder, self.made = scratch(self.spark), []
 
     def keep(self, df: DataFrame, name: str, all_tasks: bool = False) -> DataFrame:
+        self.made.append(name)
         return stored(df, self.folder, name, all_tasks)
 
     def near_sizes(self, na: str, nb: str):
@@ -269,34 +276,52 @@ class NearDuplicates:
         linked = least.join(roots, "label").select("nid", "label", "component_id")
         of_class = nodes.select("sig", "nid", "least").join(linked, "nid", "left")
         of_class = of_class.select("sig", "nid", "least", F.coalesce("label", "nid").alias("label"), F.coalesce("component_id", "least").alias("component_id"))
-        return sketched.select("doc_id", "h", "n", "sig"), self.keep(of_class, "classes")
+        of_class = self.keep(of_class, "classes")
+        discarded(self.spark, self.folder, *[name for name in self.made if name not in ("sketched", "classes")])
+        return sketched.select("doc_id", "h", "n", "sig"), of_class
 
     def prefix_pairs(self, rest: DataFrame) -> DataFrame:
         """Pairs (a, b) of classes with different labels that may be similar, by prefix and position.
 
-        A set's shingles are ordered by rarity among these classes. Similar sets share a shingle early
-        in both: after the first one they share, each must still have room for the overlap they need. Shingles
-        that only one set has come first and can't be shared, so they only shift positions.
-        For each shingle, classes outside its commonest label meet the others; those inside never meet.
+        A set's shingles are ordered by rarity among these classes; those that only one set has come first and can't be
+        shared, so they only shift positions. Similar sets share a shingle early in both: from the first one they share on, each
+        must still have room for the overlap they need. With x the smaller set, a shingle at place i of x allows partners of at most
+        `reach` elements, and one at place i of y partners of at most its `reach`; a row that allows none is dropped. So texts that have a passage in common
+        and too much of their own, which would all meet at that passage's shingles, don't meet at all. What is left meets by shingle and by
+        bucket of sizes (buckets grow by a sixteenth): x is in one, y looks in those it allows. For each shingle and bucket, classes outside its commonest
+        label meet the others; those inside never meet.
         """
         explode = self.sets.join(rest.select("nid"), "nid", "left_semi").select("nid", "elements").mapInArrow(_elements, "nid long, token long")
         tokens = self.keep(explode, "tokens")
-        shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+        n = tokens.count()
+        shared = self.keep(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
+        known = self.keep(hot_join(tokens, shared, "token", "nid", n), "tokens-shared")
         own = Window.partitionBy("nid")
         order = F.row_number().over(own.orderBy("df", "token")) - 1
-        placed = tokens.join(shared, "token").select("nid", "token", order.alias("k"), F.count("*").over(own).alias("m"))
+        placed = known.select("nid", "token", order.alias("k"), F.count("*").over(own).alias("m"))
         placed = placed.join(rest, "nid").withColumn("i", F.col("n") - F.col("m") + F.col("k"))
+        reach = F.floor(((F.col("n") - F.col("i")) * (100 + self.percent) - self.percent * F.col("n")) / self.percent)
         least = F.floor((self.percent * F.col("n") + 99) / 100)
-        prefix = self.keep(placed.filter(F.col("i") <= F.col("n") - least).select("token", "nid", "label", "n", "i"), "prefix")
-        counts = prefix.groupBy("token", "label").agg(F.count("*").alias("c"))
-        main = counts.groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("labels")).filter("labels > 1")
-        inside = prefix.join(main.select("token", "main"), "token")
-        x, y = (inside.select("token", "main", *[F.col(c).alias(f"{s}_{c}") for c in ("nid", "label", "n", "i")]) for s in "xy")
-        x = x.filter("x_label <> main").drop("main")
-        once = (F.col("y_label") == F.col("main")) | (F.col("x_nid") > F.col("y_nid"))
-        room = F.least(F.col("x_n") - F.col("x_i"), F.col("y_n") - F.col("y_i")) * (100 + self.percent) >= self.percent * (F.col("x_n") + F.col("y_n"))
-        pairs = x.join(y, "token").filter((F.col("x_label") != F.col("y_label")) & once & self.near_sizes("x_n", "y_n") & room)
-        return pairs.select(F.greatest("x_nid", "y_nid").alias("a"), F.least("x_nid", "y_nid").alias("b")).distinct()
+        prefix = self.keep(placed.withColumn("reach", reach).filter(F.col("reach") >= least).select("token", "nid", "label", "n", "reach"), "prefix")
+        bucket = lambda size: F.floor(F.log(size) / F.log(F.lit(17 / 16))).cast("int")
+        x = prefix.filter("reach >= n").withColumn("bucket", bucket(F.col("n")))
+        span = F.sequence(bucket(least), bucket(F.least("n", "reach")))
+        y = prefix.withColumn("bucket", F.explode(span))
+        x, y = (df.select(F.xxhash64("token", "bucket").alias("at"), *[F.col(c).alias(f"{side}_{c}") for c in ("token", "nid", "label", "n", "reach")]) for side, df in (("x", x), ("y", y)))
+        x, y = self.keep(x, "prefix-x"), self.keep(y, "prefix-y")
+        # Where all of a bucket have one label nothing meets; else the smaller side holds no class of the commonest one.
+        counts = x.select("at", F.col("x_label").alias("label")).unionByName(y.select("at", F.col("y_label").alias("label"))).groupBy("at", "label").agg(F.count("*").alias("c"))
+        main = counts.groupBy("at").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("labels")).filter("labels > 1")
+        main = self.keep(main.select("at", "main"), "main")
+        x = self.keep(hot_join(x, main, "at", "x_nid", x.count()), "meeting-x")
+        y = self.keep(hot_join(y, main, "at", "y_nid", y.count()), "meeting-y")
+        ordered = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_nid") < F.col("y_nid")))
+        fits = (F.col("x_token") == F.col("y_token")) & ordered & (F.col("y_n") <= F.col("x_reach")) & (F.col("x_n") <= F.col("y_reach")) & self.near_sizes("x_n", "y_n")
+        # Two halves: x outside the main label with any y of another, and x of the main label with y outside it.
+        outside = x.filter("x_label <> main").drop("main").join(y.drop("main"), "at").filter(fits & (F.col("x_label") != F.col("y_label")))
+        inside = x.filter("x_label = main").drop("main").join(y.filter("y_label <> main").drop("main"), "at").filter(fits)
+        pair = [F.greatest("x_nid", "y_nid").alias("a"), F.least("x_nid", "y_nid").alias("b")]
+        return outside.select(*pair).unionByName(inside.select(*pair)).distinct()
 
     def shingle_sets(self, picked: DataFrame) -> DataFrame:
         """nid and set of each picked class, from its least document's text.
@@ -335,20 +360,36 @@ class NearDuplicates:
 
     def verified(self, pairs: DataFrame, picked: DataFrame, name: str) -> DataFrame:
         """a, b, common and total of the pairs that may be similar by size and by estimate."""
+        pairs = self.keep(pairs, f"pairs-{name}")
         side = lambda s, r: picked.select(F.col("nid").alias(s), F.col("n").alias(f"n{s}"), F.col("regs").alias(r))
-        sized = pairs.join(side("a", "ra"), "a").join(side("b", "rb"), "b").filter(self.near_sizes("na", "nb"))
+        sized = self.with_sides(pairs, side("a", "ra"), side("b", "rb")).filter(self.near_sizes("na", "nb"))
         likely = sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(partial(_estimate, floor_of(self.percent)), "a long, b long")
         return self.exact(self.keep(likely, f"likely-{name}"))
 
+    def with_sides(self, pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Pairs (a, b), stored, with the columns that `a` and `b` have for each. A leader with many pairs is dealt out."""
+        n = pairs.count()
+        if n <= 20_000:
+            return pairs.join(a, "a").join(b, "b")
+        # The wide columns of one side ride along only after both sides are dealt, so no task holds more than its share of either.
+        hot_a, hot_b = weighed(pairs, "a", n), weighed(pairs, "b", n)
+        many = F.coalesce("pieces", F.lit(1))
+        dealt = pairs
+        for side, other, hot in (("a", "b", hot_a), ("b", "a", hot_b)):
+            dealt = dealt.join(F.broadcast(hot), side, "left").withColumn(f"at_{side}", F.pmod(F.xxhash64(other), many).cast("int")).drop("pieces")
+        for side, hot, wide in (("a", hot_a, a), ("b", hot_b, b)):
+            copies = wide.join(F.broadcast(hot), side, "left").withColumn(f"at_{side}", F.explode(F.sequence(F.lit(0), many - 1))).drop("pieces")
+            dealt = dealt.join(copies, [side, f"at_{side}"])
+        return dealt.drop("at_a", "at_b")
+
     def exact(self, likely: DataFrame) -> DataFrame:
-        """a, b, common and total of pairs (a, b), from the full sets."""
+        """a, b, common and total of pairs (a, b), stored, from the full sets."""
         sets = self.sets
         if likely.count() <= 200_000:  # 16 bytes each: small enough to send the ids to the sets
             ids = likely.select(F.col("a").alias("nid")).union(likely.select("b")).distinct()
             sets = sets.join(F.broadcast(ids), "nid", "left_semi")
-        both = likely.join(sets.select(F.col("nid").alias("a"), F.col("elements").alias("sa")), "a").join(
-            sets.select(F.col("nid").alias("b"), F.col("elements").alias("sb")), "b"
-        )
+        side = lambda s: sets.select(F.col("nid").alias(s), F.col("elements").alias(f"s{s}"))
+        both = self.with_sides(likely, side("a"), side("b"))
         return both.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long, common long, total long")
 
     def labels(self, seen: DataFrame, picked: DataFrame, name: str) -> DataFrame:
@@ -394,7 +435,8 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     """The documents with one row of each group, that of the least doc_id, and all rows without words.
 
     Where several rows share that id, the one with the least text hash stays, and of rows equal in
-    both one. All columns stay as they are.
+    both one. All columns stay as they are, whatever they are called. Null and empty texts are all kept, and an empty
+    table gives no rows.
     """
     rows, classes = NearDuplicates(docs, shingle, percent).run()
     best = classes.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), "least", "nid")).alias("best")).select(F.col("best.nid").alias("nid"))
@@ -404,11 +446,11 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     stay = of_best.groupBy("sig", F.col("doc_id").alias("stay_id")).agg(F.min("h").alias("stay_h"))
     marked = worded.join(stay, "sig", "left").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("stay_id")) & F.col("h").eqNullSafe(F.col("stay_h")))
     marked = marked.withColumn("stays", F.coalesce("stays", F.lit(False)))
-    gone = stored(marked.filter(~F.col("stays")).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct(), scratch(docs.sparkSession), "gone")
+    gone_id, gone_h = unlike(docs.columns, "gone_id", "gone_h")
+    gone = stored(marked.filter(~F.col("stays")).select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h)).distinct(), scratch(docs.sparkSession), "gone")
     few = gone.count() <= 200_000  # 16 bytes each
-    names = [f"`{c}`" for c in docs.columns]
     text = F.xxhash64(F.col("text").cast("string"))
-    left = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (text == F.col("gone_h")), "left_anti").select(*names)
+    left = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (text == F.col(gone_h)), "left_anti")
     if marked.filter("stays").groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
         return left
     empty = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")

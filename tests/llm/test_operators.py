@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lucidoc.llm import decontaminate, encoding, hilbert, near_dup, packing, pii, quality_model, quality_rules, queries, secret_scan, token_files, word_pieces
+from lucidoc.llm import common, decontaminate, encoding, hilbert, near_dup, packing, pii, quality_model, quality_rules, queries, secret_scan, token_files, word_pieces
 from lucidoc.llm.encoding import vocabulary
 
 from . import brute
@@ -221,7 +221,7 @@ def test_components_of_a_long_chain_in_any_order(spark, tmp_path, monkeypatch):
 
     def counted(df, folder, name, *more):
         names.append(name)
-        assert len(names) <= 30
+        assert len(names) <= 45
         return store(df, folder, name, *more)
 
     monkeypatch.setattr(near_dup, "stored", counted)
@@ -229,6 +229,30 @@ def test_components_of_a_long_chain_in_any_order(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, got)) == [(n + 1000 * part, 1000 * part) for part in (0, 1) for n in range(800)]
 
 
+def test_texts_with_a_long_passage_in_common_do_not_meet(spark, monkeypatch):
+    """170 shared and 26 own words: similarity is under the threshold, and no pairs are made, however many texts there are."""
+    made = []
+    monkeypatch.setattr(near_dup, "discarded", lambda spark, folder, *names: made.append(folder))
+    for n in (100, 300):
+        passage = " ".join(f"w{i}" for i in range(170))
+        rows = [(d, passage + " " + " ".join(f"o{d}x{i}" for i in range(26))) for d in range(n)]
+        got = near_dup.near_duplicates(brute.documents(spark, rows), 4, 80).collect()
+        assert all(r.kept and r.n_shingles == 193 for r in got)
+        folder = next(f for f in reversed(made) if f)
+        x, y = (spark.read.parquet(f"{folder}/meeting-{side}").groupBy("at").count() for side in "xy")
+        met = x.join(y.withColumnRenamed("count", "other"), "at").agg(F.sum(F.col("count") * F.col("other"))).head()[0] or 0
+        assert met <= 10 * n
+
+
+def test_hot_keys_are_dealt_out(spark):
+    left = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).alias("k"), F.col("id").alias("pieces"))
+    right = spark.range(5000).filter("id % 2 = 1").select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    assert [tuple(r) for r in common.weighed(left, "k", 30_000).collect()] == [(7, 11)]
+    for how in ("inner", "left"):
+        got = common.hot_join(left, right, "k", "pieces", 30_000, how)
+        assert got.columns == ["k", "pieces", "v"] and bag(got.collect()) == bag(left.join(right, "k", how).collect())
+
+
 def test_estimates_and_merging():
     r = np.random.default_rng(1)
     for j in (0.3, 0.8):
