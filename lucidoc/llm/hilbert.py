@@ -2,7 +2,8 @@
 
 Each dimension is quantised by its quantiles, the cells of the grid are numbered along the curve,
 rows are sorted by that number and cut into runs of equal row counts. A shard is then a compact
-region of the metadata, so file statistics prune it for a filter on any dimension.
+region of the metadata, so file statistics prune it for a filter on any dimension. Equal texts go
+by the metadata of one of them, so copies share a shard wherever it holds them.
 
 All of it is DataFrame work. Ranks come from a range partitioning of the whole sort key, which is
 unique where rows are, so a hot source or a large group of copies spreads over partitions; only
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, stored
+from .common import discarded, hot_join, scratch, stored, unlike
 
 SHARDS, BITS = 40, 4
 DIMENSIONS = ("source", "lang", "size")
@@ -97,28 +98,35 @@ def quantised(meta: DataFrame, dimensions: tuple[str, ...], bits: int) -> DataFr
     return meta.withColumn("cell", F.array(*cells))
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
-    """doc_id, size, text_crc32, law ("rows"), shard, slot, grown_shard (null) and curve of each row.
-
-    `dimensions` are columns of `docs`, or "size": the text's UTF-8 bytes plus 16 (null text: 16, as
-    for an empty one, with checksum 0). Rows go by curve number, then checksum and doc_id, so equal
-    texts of equal metadata are neighbours. Shard sizes differ by one row at most; with fewer rows
-    than shards some are empty. Null metadata has a coordinate of its own; repeated rows each get a
-    slot; an empty table gives no rows; other columns are ignored.
-    """
+def _ranked(docs: DataFrame, shards: int, dimensions: tuple[str, ...], bits: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, curve, shard and slot of each row, and `row`, a struct of the columns in `carry`."""
     folder = scratch(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     meta = docs.select(
         "doc_id",
-        *[d for d in dimensions if d != "size"],
+        *[F.col(d).alias(f"d{i}") for i, d in enumerate(dimensions) if d != "size"],
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("h"),
+        *([F.struct(*carry).alias("row")] if carry else []),
     )
-    meta = quantised(stored(meta, folder, "meta", all_tasks=True), dimensions, bits)
+    meta = stored(meta, folder, "meta", all_tasks=True)
+    own = [f"d{i}" for i, d in enumerate(dimensions) if d != "size"]
+    if own:
+        # Equal texts take the place of the one with the least doc_id, so that they stand together.
+        first = F.min(F.struct("doc_id", *own)).alias("first")
+        groups = stored(meta.groupBy("h").agg(first, F.count("*").alias("copies")).filter("copies > 1").select("h", "first"), folder, "groups")
+        meta = hot_join(meta, groups, "h", "doc_id", meta.count(), "left")
+        meta = meta.select(*[F.when(F.col("first").isNotNull(), F.col(f"first.{c}")).otherwise(F.col(c)).alias(c) if c in own else c for c in meta.columns if c != "first"])
+        meta = stored(meta, folder, "grouped", all_tasks=True)
+    names = tuple("size" if d == "size" else f"d{i}" for i, d in enumerate(dimensions))
+    meta = quantised(meta, names, bits)
     cells = meta.select("cell").distinct().select("cell", curve_index(F.col("cell"), len(dimensions), bits).alias("curve"))
-    placed = meta.join(F.broadcast(cells), "cell").select("doc_id", "size", "text_crc32", "curve")
-    ordered = placed.repartitionByRange("curve", "text_crc32", "doc_id").sortWithinPartitions("curve", "text_crc32", "doc_id")
+    order = ("curve", "h", "doc_id")
+    placed = meta.join(F.broadcast(cells), "cell").select("doc_id", "size", "text_crc32", "curve", "h", *(["row"] if carry else []))
+    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered = stored(ordered.withColumn("at", F.monotonically_increasing_id()), folder, "ordered", all_tasks=True)
+    discarded(docs.sparkSession, folder, "meta", "groups", "grouped")
     part, within = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
     # A row for each partition of the sort: few enough for one window and a broadcast.
     counts = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
@@ -129,20 +137,50 @@ def assign(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] =
         F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
     )
     ranked = ordered.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("rank", F.col("before") + within)
-    shard = F.expr(f"rank * {shards} div total")
-    return ranked.withColumn("shard", shard).select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("rows").alias("law"),
-        F.col("shard").cast("int").alias("shard"),
-        (F.col("rank") - F.expr(f"(shard * total + {shards - 1}) div {shards}")).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-        "curve",
-    )
+    ranked = ranked.withColumn("shard", F.expr(f"rank * {shards} div total"))
+    slot = (F.col("rank") - F.expr(f"(shard * total + {shards - 1}) div {shards}")).cast("long")
+    return ranked.withColumn("slot", slot).withColumn("shard", F.col("shard").cast("int"))
+
 
+def assign(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
+    """doc_id, size, text_crc32, law ("rows"), shard, slot, grown_shard (null) and curve of each row.
 
-def file_ranges(docs: DataFrame, assigned: DataFrame, dimensions: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """Least and greatest value of each dimension in each shard: what file pruning works with."""
-    joined = assigned.select("doc_id", "shard").join(docs.select("doc_id", *dimensions), "doc_id")
-    return joined.groupBy("shard").agg(*[f(d).alias(f"{n}_{d}") for d in dimensions for n, f in (("min", F.min), ("max", F.max))])
+    `dimensions` are columns of `docs`, or "size": the text's UTF-8 bytes plus 16 (null text: 16, as
+    for an empty one, with checksum 0). Equal texts are a group, which has the curve number of its row with the least doc_id
+    (a null id before others). Rows go by curve number, then text and doc_id, so a group stands together and is cut only where
+    a shard is full. Shard sizes differ by one row at most; with fewer rows
+    than shards some are empty. Null metadata has a coordinate of its own; repeated rows each get a
+    slot; an empty table gives no rows; other columns are ignored, whatever they are called.
+    """
+    ranked = _ranked(docs, shards, dimensions, bits)
+    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def write(docs: DataFrame, path: str, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> tuple[str, str]:
+    """Write the documents, with all their columns, as a Parquet table with a directory for each shard, rows in order of slots.
+
+    Returns the names of the columns that hold shard and slot: "shard" and "slot" unless the documents have columns called so.
+    A task of the sort holds a run of the curve, so a shard is a few files. Rows and nulls as in `assign`; an empty table
+    makes an empty one.
+    """
+    shard, slot = unlike(docs.columns, "shard", "slot")
+    ranked = _ranked(docs, shards, dimensions, bits, tuple(docs.columns))
+    ranked.select("row.*", F.col("slot").alias(slot), F.col("shard").alias(shard)).write.partitionBy(shard).parquet(path)
+    return shard, slot
+
+
+def pruning(written: DataFrame, shard: str = "shard", dimensions: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+    """dimension, value, shards (all) and shards_read: those whose least and greatest values leave room for the value.
+
+    This is what file statistics do for a filter on one value of a dimension. Null values aren't listed.
+    """
+    out = None
+    for d in dimensions:
+        ranges = written.groupBy(shard).agg(F.min(d).alias("least"), F.max(d).alias("greatest"))
+        values = written.filter(F.col(d).isNotNull()).groupBy(F.col(d).alias("value")).agg(F.count("*").alias("rows"))
+        # A row for each shard: few, and fixed by the caller.
+        met = values.join(F.broadcast(ranges), F.col("value").between(F.col("least"), F.col("greatest"))).groupBy("value").agg(F.count("*").alias("shards_read"))
+        total = ranges.agg(F.count("*").alias("shards"))
+        part = met.join(F.broadcast(total)).select(F.lit(d).alias("dimension"), F.col("value").cast("string").alias("value"), "shards", "shards_read")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -106,9 +106,78 @@ def test_shards(spark, rows):
     counts = [len(slots[k]) for k in range(40)]
     assert max(counts) - min(counts) <= 1
     assert all(sorted(s for s, _ in v) == list(range(len(v))) for v in slots.values())
-    path = [c for k in sorted(slots) for _, c in sorted(slots[k])]
-    assert path == sorted(path)
-    assert hilbert.file_ranges(brute.frame(spark, rows).dropna(subset=["doc_id"]).dropDuplicates(["doc_id"]), hilbert.assign(brute.frame(spark, rows))).count() > 30
+    ordered = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in ordered] == sorted(r.curve for r in got)
+    # Shard and slot by rank, and each group of equal texts in one run.
+    n = len(rows)
+    assert [(r.shard, r.slot) for r in ordered] == [(k * 40 // n, k - -(-(k * 40 // n) * n // 40)) for k in range(n)]
+    texts = [(r["size"], r.text_crc32) for r in ordered]
+    assert sum(a != b for a, b in zip(texts, texts[1:])) + 1 == len(set(texts))
+
+
+def test_copies_share_a_shard(spark):
+    rows = [(i, f"text number {i % 40}") for i in range(400)]
+    docs = brute.frame(spark, rows)
+    got = hilbert.assign(docs, 20).collect()
+    shards = defaultdict(set)
+    for r in got:
+        shards[r.doc_id % 40].add(r.shard)
+    assert all(len(v) == 1 for v in shards.values()) and len({r.shard for r in got}) == 20
+
+
+def hilbert_point(index, dimensions, bits):
+    """The cell of a curve index, by the published inverse: deal out the bits, undo the Gray code, then rotate from the least bit up."""
+    x = [0] * dimensions
+    for k in range(bits * dimensions):
+        bit = index >> (bits * dimensions - 1 - k) & 1
+        x[k % dimensions] = x[k % dimensions] << 1 | bit
+    t = x[-1] >> 1
+    for i in range(dimensions - 1, 0, -1):
+        x[i] ^= x[i - 1]
+    x[0] ^= t
+    q = 2
+    while q < 1 << bits:
+        for i in range(dimensions - 1, -1, -1):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0], x[i] = x[0] ^ t, x[i] ^ t
+        q <<= 1
+    return x
+
+
+@pytest.mark.parametrize(("dimensions", "bits"), [(2, 3), (3, 4)])
+def test_curve_index_is_the_inverse_of_the_published_one(spark, dimensions, bits):
+    rows = [(i, hilbert_point(i, dimensions, bits)) for i in range(1 << dimensions * bits)]
+    cells = spark.createDataFrame(rows, "i long, cell array<int>")
+    assert cells.filter(hilbert.curve_index(F.col("cell"), dimensions, bits) != F.col("i")).count() == 0
+
+
+def test_cells_are_quantiles(spark):
+    rows = spark.createDataFrame([(i, f"name{i:03}", None if i % 8 == 0 else i // 8) for i in range(64)], "size long, d0 string, d1 int")
+    cells = {r["size"]: r.cell for r in hilbert.quantised(rows, ("size", "d0", "d1"), 2).collect()}
+    for k in (0, 1):
+        column = [cells[i][k] for i in range(64)]
+        assert column == sorted(column) and set(column) == {1, 2, 3} and all(20 <= column.count(c) <= 23 for c in (1, 2, 3))
+    assert all((cells[i][2] == 0) == (i % 8 == 0) for i in range(64))
+
+
+def test_shards_as_files(spark, rows, tmp_path):
+    docs = brute.frame(spark, rows)
+    shard, slot = hilbert.write(docs, str(tmp_path / "shards"), 12)
+    assert (shard, slot) == ("shard_", "slot")
+    there = spark.read.parquet(str(tmp_path / "shards"))
+    assert bag(there.select(docs.columns).collect()) == bag(docs.collect())
+    want = hilbert.assign(docs, 12).select("doc_id", "shard", "slot").collect()
+    assert bag(there.select("doc_id", "shard_", "slot").collect()) == bag(want)
+    found = {(r.dimension, r.value): r for r in hilbert.pruning(there, "shard_").collect()}
+    assert {k for k in found if k[0] == "source"} == {("source", f"src{i}") for i in range(3)} and all(r.shards == 12 for r in found.values())
+    held = defaultdict(set)
+    for r in there.collect():
+        held[r["shard_"]].add(r.source)
+    for i in range(3):
+        assert found["source", f"src{i}"].shards_read == sum(min(v) <= f"src{i}" <= max(v) for v in held.values())
 
 
 # 3 -----------------------------------------------------------------------------
