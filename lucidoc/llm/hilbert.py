@@ -13,6 +13,9 @@ dimensions) of them), not for rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,7 +102,8 @@ def quantised(meta: DataFrame, dimensions: tuple[str, ...], bits: int) -> DataFr
 
 
 def _ranked(docs: DataFrame, shards: int, dimensions: tuple[str, ...], bits: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, text_crc32, curve, shard and slot of each row, and `row`, a struct of the columns in `carry`."""
+    """doc_id, size, text_crc32, curve, shard and slot of each row, whether it is a stray (a copy that stands by another's
+    metadata), and `row`, a struct of the columns in `carry`."""
     folder = scratch(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     meta = docs.select(
@@ -117,13 +121,17 @@ def _ranked(docs: DataFrame, shards: int, dimensions: tuple[str, ...], bits: int
         first = F.min(F.struct("doc_id", *own)).alias("first")
         groups = stored(meta.groupBy("h").agg(first, F.count("*").alias("copies")).filter("copies > 1").select("h", "first"), folder, "groups")
         meta = hot_join(meta, groups, "h", "doc_id", meta.count(), "left")
-        meta = meta.select(*[F.when(F.col("first").isNotNull(), F.col(f"first.{c}")).otherwise(F.col(c)).alias(c) if c in own else c for c in meta.columns if c != "first"])
+        copied = F.col("first").isNotNull()
+        away = reduce(or_, (~F.col(c).eqNullSafe(F.col(f"first.{c}")) for c in own))
+        meta = meta.select(*[F.when(copied, F.col(f"first.{c}")).otherwise(F.col(c)).alias(c) if c in own else c for c in meta.columns if c != "first"], (copied & away).alias("stray"))
         meta = stored(meta, folder, "grouped", all_tasks=True)
+    else:
+        meta = meta.withColumn("stray", F.lit(False))
     names = tuple("size" if d == "size" else f"d{i}" for i, d in enumerate(dimensions))
     meta = quantised(meta, names, bits)
     cells = meta.select("cell").distinct().select("cell", curve_index(F.col("cell"), len(dimensions), bits).alias("curve"))
     order = ("curve", "h", "doc_id")
-    placed = meta.join(F.broadcast(cells), "cell").select("doc_id", "size", "text_crc32", "curve", "h", *(["row"] if carry else []))
+    placed = meta.join(F.broadcast(cells), "cell").select("doc_id", "size", "text_crc32", "curve", "h", "stray", *(["row"] if carry else []))
     ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered = stored(ordered.withColumn("at", F.monotonically_increasing_id()), folder, "ordered", all_tasks=True)
     discarded(docs.sparkSession, folder, "meta", "groups", "grouped")
@@ -156,31 +164,31 @@ def assign(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] =
     return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
-def write(docs: DataFrame, path: str, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> tuple[str, str]:
+def write(docs: DataFrame, path: str, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> list[str]:
     """Write the documents, with all their columns, as a Parquet table with a directory for each shard, rows in order of slots.
 
-    Returns the names of the columns that hold shard and slot: "shard" and "slot" unless the documents have columns called so.
-    A task of the sort holds a run of the curve, so a shard is a few files. Rows and nulls as in `assign`; an empty table
-    makes an empty one.
+    Copies that stand by the metadata of another row have files of their own in their shard, so that they don't widen the
+    ranges of the others'. Returns the names of the columns that say shard, stray and slot: just these unless the documents have columns
+    called so. A task of the sort holds a run of the curve, so a shard is a few files. Rows and nulls as in `assign`; an empty
+    table makes an empty one.
     """
-    shard, slot = unlike(docs.columns, "shard", "slot")
+    shard, stray, slot = names = unlike(docs.columns, "shard", "stray", "slot")
     ranked = _ranked(docs, shards, dimensions, bits, tuple(docs.columns))
-    ranked.select("row.*", F.col("slot").alias(slot), F.col("shard").alias(shard)).write.partitionBy(shard).parquet(path)
-    return shard, slot
-
+    ranked.select("row.*", F.col("slot").alias(slot), F.col("shard").alias(shard), F.col("stray").cast("int").alias(stray)).write.partitionBy(shard, stray).parquet(path)
+    return names
 
-def pruning(written: DataFrame, shard: str = "shard", dimensions: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """dimension, value, shards (all) and shards_read: those whose least and greatest values leave room for the value.
 
-    This is what file statistics do for a filter on one value of a dimension. Null values aren't listed.
-    """
+def pruning(written: DataFrame, shard: str = "shard", stray: str = "stray", dimensions: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+    """dimension, value, and the share of shards and of rows that a filter on the value reads: those of files whose least and
+    greatest values leave room for it, as file statistics tell. Null values aren't listed."""
     out = None
     for d in dimensions:
-        ranges = written.groupBy(shard).agg(F.min(d).alias("least"), F.max(d).alias("greatest"))
-        values = written.filter(F.col(d).isNotNull()).groupBy(F.col(d).alias("value")).agg(F.count("*").alias("rows"))
-        # A row for each shard: few, and fixed by the caller.
-        met = values.join(F.broadcast(ranges), F.col("value").between(F.col("least"), F.col("greatest"))).groupBy("value").agg(F.count("*").alias("shards_read"))
-        total = ranges.agg(F.count("*").alias("shards"))
-        part = met.join(F.broadcast(total)).select(F.lit(d).alias("dimension"), F.col("value").cast("string").alias("value"), "shards", "shards_read")
+        # Two rows for each shard at most, and the number of shards is fixed by the caller.
+        ranges = written.groupBy(F.col(shard).alias("shard"), (F.col(stray) == 1).alias("stray")).agg(F.min(d).alias("least"), F.max(d).alias("greatest"), F.count("*").alias("n"))
+        total = ranges.agg(F.count_distinct("shard").alias("shards"), F.sum("n").alias("rows"))
+        values = written.filter(F.col(d).isNotNull()).select(F.col(d).alias("value")).distinct()
+        met = values.join(F.broadcast(ranges), F.col("value").between(F.col("least"), F.col("greatest")))
+        met = met.groupBy("value").agg(F.count_distinct(F.when(~F.col("stray"), F.col("shard"))).alias("met"), F.sum("n").alias("n"))
+        part = met.join(F.broadcast(total)).select(F.lit(d).alias("dimension"), F.col("value").cast("string").alias("value"), (F.col("met") / F.col("shards")).alias("shards_read"), (F.col("n") / F.col("rows")).alias("rows_read"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -165,19 +165,20 @@ def test_cells_are_quantiles(spark):
 
 def test_shards_as_files(spark, rows, tmp_path):
     docs = brute.frame(spark, rows)
-    shard, slot = hilbert.write(docs, str(tmp_path / "shards"), 12)
-    assert (shard, slot) == ("shard_", "slot")
+    assert hilbert.write(docs, str(tmp_path / "shards"), 12) == ["shard_", "stray", "slot"]
     there = spark.read.parquet(str(tmp_path / "shards"))
     assert bag(there.select(docs.columns).collect()) == bag(docs.collect())
     want = hilbert.assign(docs, 12).select("doc_id", "shard", "slot").collect()
     assert bag(there.select("doc_id", "shard_", "slot").collect()) == bag(want)
-    found = {(r.dimension, r.value): r for r in hilbert.pruning(there, "shard_").collect()}
-    assert {k for k in found if k[0] == "source"} == {("source", f"src{i}") for i in range(3)} and all(r.shards == 12 for r in found.values())
-    held = defaultdict(set)
+    held = defaultdict(list)
     for r in there.collect():
-        held[r["shard_"]].add(r.source)
-    for i in range(3):
-        assert found["source", f"src{i}"].shards_read == sum(min(v) <= f"src{i}" <= max(v) for v in held.values())
+        held[r["shard_"], r.stray].append(r.source)
+    assert any(stray for _, stray in held)
+    found = {r.value: r for r in hilbert.pruning(there, "shard_").collect() if r.dimension == "source"}
+    assert set(found) == {f"src{i}" for i in range(3)}
+    for value, r in found.items():
+        met = [k for k, v in held.items() if min(v) <= value <= max(v)]
+        assert r.shards_read == pytest.approx(len({k for k, stray in met if not stray}) / 12) and r.rows_read == pytest.approx(sum(len(held[k]) for k in met) / len(rows))
 
 
 # 3 -----------------------------------------------------------------------------
