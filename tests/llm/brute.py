@@ -139,3 +139,81 @@ def sha(parts):
 
 def crc(ids):
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def wide_candidates(text):
+    """Candidates beyond the base spans that overlap none of these, and all candidates with votes and what the classifier sees."""
+    import regex
+    import xxhash
+
+    from lucidoc.llm import pii
+
+    text = text or ""
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    base = {(k, int(a), int(b)) for k, a, b in (s.split(":") for s in personal(text))}
+    found = []
+    for kind, pattern, worth, shape in [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", lambda m: True, lambda m: True),
+        ("ip", r"[0-9]+(?:\.[0-9]+){3}", lambda m: True, lambda m: all(int(p) <= 255 for p in m.split("."))),
+        ("card", pii.CARD, lambda m: 13 <= len(digits(m)) <= 19, lambda m: luhn(digits(m))),
+        ("phone", pii.PHONE, lambda m: True, lambda m: 9 <= len(digits(m)) <= 15),
+        ("email", pii.WORDED_EMAIL, lambda m: "@" not in m and regex.search(r"(?i)[\[(] ?at ?[\])]", text), lambda m: True),
+        ("phone", pii.LOCAL_PHONE, lambda m: "+" not in m, lambda m: True),
+        ("ssn", pii.SSN, lambda m: True, lambda m: not re.search("-00-|-0000$", m)),
+        ("name", pii.NAME, lambda m: True, lambda m: not regex.search(r"(?i)(\p{L}+) \1$", m)),
+        ("address", pii.ADDRESS, lambda m: True, lambda m: bool(re.search("[1-9]", m))),
+    ]:
+        for m in regex.finditer(pattern, text):
+            if worth(m[0]):
+                found.append((kind, m.start(), m.end(), m[0], shape(m[0])))
+    out = []
+    for kind, a, b, match, shape in found:
+        known = (kind, a, b) in base
+        if not known and any(a < y and x < b for _, x, y in base):
+            continue
+        prior, later = text[max(0, a - 40) : a].lower(), text[b : b + 30]
+        has = lambda pattern, s: bool(regex.search(pattern, s))
+        pick = lambda yes, no: 1 if yes else 0 if no else -1
+        if kind == "email":
+            listed = pick(has(rf"(?:\.|dot\s?[\])]\s?)(?:{'|'.join(pii.DOMAIN_ENDS)})$", match.lower()), False)
+        elif kind == "ip":
+            listed = pick(has(r"^(?:10|127|172|192)\.", match), match.startswith("0"))
+        elif kind == "card":
+            listed = int(has("^[3-6]", digits(match)))
+        elif kind == "phone":
+            listed = pick(has(rf"^\+(?:{'|'.join(pii.COUNTRY_CODES)})", match), has(r"^\(?[01]", match))
+        elif kind == "ssn":
+            listed = int(not has("^(?:000|666|9)", match))
+        elif kind == "name":
+            listed = pick(has(rf"(?:^| )(?:{'|'.join(pii.GIVEN_NAMES)}) ", match), False)
+        else:
+            listed = pick(has(rf"^\W{{0,9}}[0-9]{{0,5}}\W{{0,2}}(?:{'|'.join(pii.PLACES)})(?!\p{{L}})", later), False)
+        word = lambda c: has(r"[\p{L}\p{N}_]", c)
+        side = lambda c: "w" if word(c) else "p" if has(r"\S", c) else "s"
+        before, after = text[a - 1 : a] if a else "", text[b : b + 1]
+        votes = (int(shape), listed, pick(has(pii.HINTS[kind], prior), has(pii.AGAINST, prior)), pick(has(pii.HINTS_AFTER[kind], later.lower()), has(pii.AGAINST_AFTER, later.lower())), int(not word(before) and not word(after)))
+        shown = regex.sub("[0-9]+", "9", regex.sub(r"\p{Lu}[\p{L}'’]*", "A", regex.sub(r"\p{Ll}[\p{L}'’]*", "a", match)))
+        h = xxhash.xxh64_intdigest(shown.encode(), 42)
+        seen = ((h - (1 << 64) if h >> 63 else h) % pii.OUTLINES, min(len(match) // 6, 4), side(before), side(after), luhn(digits(match)) if kind == "card" else True)
+        out.append((kind, a, b, known, votes, seen))
+    return out
+
+
+def personal_spans(texts):
+    """For each text, all spans: base ones, and wide ones that the classifier accepts when the models are fitted on these texts."""
+    from lucidoc.llm import pii
+
+    each = [wide_candidates(t) for t in texts]
+    counts, known, features = Counter(), Counter(), {}
+    for kind, _, _, base, votes, _ in (c for cs in each for c in cs):
+        counts[kind, votes] += 1
+        known[kind, votes] += base
+    true, _, _ = pii.estimate([(k, v, n, known[k, v]) for (k, v), n in sorted(counts.items())])
+    for kind, _, _, base, votes, seen in (c for cs in each for c in cs):
+        p = 1.0 if base else true[kind, votes]
+        yes, no = features.get((kind, seen), (0.0, 0.0))
+        features[kind, seen] = yes + p, no + 1 - p
+    weights = pii.classifier([(pii.named(k, *seen), yes, no) for (k, seen), (yes, no) in sorted(features.items(), key=repr)])
+    accepted = lambda c: c[3] or sum(weights[f] for f in pii.named(c[0], *c[5])) >= 0
+    order = lambda c: (pii.KINDS.index(c[0]), c[1], c[2])
+    return [[f"{k}:{a}:{b}" for k, a, b, *_ in sorted(filter(accepted, cs), key=order)] for cs in each]
