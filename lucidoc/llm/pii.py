@@ -57,10 +57,10 @@ PLACES = (
     "München Munich Nantes Nice Nürnberg Oxford Paris Philadelphia Rome Salamanca Seattle Sevilla Stuttgart Toronto Toulouse Valencia Vienna Wien Zaragoza Zürich"
 ).split()
 _CAP = r"\p{Lu}[\p{Ll}'’-]++"
-NAME = rf"(?<![\p{{L}}])(?:(?:(?:{'|'.join(TITLES)})\.?\x20){_CAP}(?:\x20{_CAP}){{0,2}}|(?:{'|'.join(GIVEN_NAMES)})\x20(?:\p{{Lu}}\.\x20)?{_CAP})"
+NAME = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:(?:{'|'.join(TITLES)})\.?\x20){_CAP}(?:\x20{_CAP}){{0,2}}|(?:{'|'.join(GIVEN_NAMES)})\x20(?:\p{{Lu}}\.\x20)?{_CAP})"
 ADDRESS = (
-    rf"(?<![\p{{L}}\p{{N}}])(?:[0-9]{{1,5}}\x20(?:{_CAP}\x20){{1,3}}(?:{'|'.join(STREETS)})(?![\p{{L}}])|[0-9]{{1,4}},?\x20(?:{'|'.join(STREETS_BEFORE)})\x20[\p{{L}}'’\x20-]{{2,30}}\p{{L}}"
-    rf"|\p{{Lu}}\p{{Ll}}+(?:straße|strasse|weg|platz|allee)\x20[0-9]{{1,4}}(?![0-9]))"
+    rf"(?<![\p{{L}}\p{{N}}])(?:[0-9]{{1,5}}\x20(?:{_CAP}\x20){{1,3}}(?:{'|'.join(STREETS)})(?!\p{{L}})|[0-9]{{1,4}},?\x20(?:{'|'.join(STREETS_BEFORE)})\x20[\p{{L}}'’\x20-]{{2,30}}\p{{L}}"
+    rf"|(?=\p{{Lu}})\p{{L}}+(?:(?<=straße|strasse)|(?<=weg|allee)|(?<=platz))\x20[0-9]{{1,4}}(?![0-9]))"
 )
 #: What is said before and after the kinds, and before and after what only looks like them.
 HINTS = {
