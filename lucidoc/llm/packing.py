@@ -79,7 +79,7 @@ PIECES = "doc_id {0}, start long, length long, ids_crc32 long, doc_tokens long,
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = GROUP, end_id: int = END_ID, keep_ids: bool = False, remember: int = 1_000_000) -> DataFrame:
     """One row per piece of the documents' ids: doc_id, start (ids of its document before it),
     length, ids_crc32, doc_tokens (with the end id), sequence_id, offset (where in the sequence it
-    begins), and with `keep_ids` the ids as an array. `remember` bounds the chunks whose ids a worker keeps.
+    begins), and with `keep_ids` the ids themselves as little-endian unsigned 32-bit numbers. `remember` bounds the chunks whose ids a worker keeps.
 
     A null or empty text is its end id alone. Repeated rows and repeated or null ids are documents
     of their own. An empty table gives no rows. Other columns are ignored. Sequences are to be
@@ -103,7 +103,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = GROU
             rests.clear()
 
         def ids(data: bytes) -> tuple:
-            return (memoryview(data).cast("I").tolist(),) if keep_ids else ()
+            return (data,) if keep_ids else ()
 
         def made() -> pa.RecordBatch:
             columns = list(zip(*rows)) if rows else [[] for _ in arrow]
@@ -134,13 +134,14 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = GROU
     prepare(docs.sparkSession)
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    schema = T._parse_datatype_string(PIECES.format(kind) + (", ids array<long>" if keep_ids else ""))
+    schema = T._parse_datatype_string(PIECES.format(kind) + (", ids binary" if keep_ids else ""))
     arrow = list(to_arrow_schema(schema))
     return base.mapInArrow(run, schema)
 
 
 def assembled(pieces: DataFrame) -> DataFrame:
-    """sequence_id and ids of each sequence, from `pack(..., keep_ids=True)`; a group has at most a capacity of ids."""
-    return pieces.groupBy("sequence_id").agg(
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("offset", "ids"))), lambda p: p["ids"])).alias("ids")
-    )
+    """sequence_id and ids of each sequence, from `pack(..., keep_ids=True)`; a group has at most a capacity of ids.
+
+    An empty table gives no rows; pieces that are repeated are joined as often."""
+    ordered = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    return pieces.groupBy("sequence_id").agg(F.aggregate(ordered, F.lit(b""), lambda done, p: F.concat(done, p["ids"])).alias("ids"))

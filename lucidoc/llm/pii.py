@@ -17,6 +17,7 @@ bounded by construction, so the driver fits both models on their counts.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 
@@ -227,15 +228,16 @@ def candidates(text: Column) -> Column:
     no = lambda m: F.lit(False)
     plausible = lambda c: F.length(digits(c["match"])).between(13, 19)
     other = lambda sign: lambda c: ~F.contains(c["match"], F.lit(sign))
+    # Guards are what any candidate holds, and cheaper to look for.
     # kind, pattern, guard, which matches are candidates, which of these are base, whether the shape is right
     sources = [
         ("email", EMAIL, F.contains(text, F.lit("@")), yes, yes, yes),
-        ("ip", IP, has_digit, yes, valid_ip, valid_ip),
-        ("card", CARD, has_digit, plausible, valid_card, valid_card),
+        ("ip", IP, has_digit & text.rlike(r"[0-9]\.[0-9]+\.[0-9]"), yes, valid_ip, valid_ip),
+        ("card", CARD, has_digit & text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), plausible, valid_card, valid_card),
         ("phone", PHONE, F.contains(text, F.lit("+")), yes, valid_phone, valid_phone),
         ("email", WORDED_EMAIL, low_at, other("@"), no, yes),
-        ("phone", LOCAL_PHONE, has_digit, other("+"), no, yes),
-        ("ssn", SSN, has_digit, yes, no, lambda m: ~m.rlike("-00-|-0000$")),
+        ("phone", LOCAL_PHONE, has_digit & text.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"), other("+"), no, yes),
+        ("ssn", SSN, has_digit & text.rlike("-[0-9]{2}-"), yes, no, lambda m: ~m.rlike("-00-|-0000$")),
         ("name", NAME, text.rlike(NAME), yes, no, lambda m: ~m.rlike(r"(?i)(\p{L}+)\x20\1$")),
         ("address", ADDRESS, has_digit & text.rlike(ADDRESS), yes, no, lambda m: m.rlike(r"[1-9]")),
     ]
@@ -302,7 +304,7 @@ def lookup(table: dict, name: Column, default: float) -> Column:
     """The value a name has in a table of a bounded size, as a literal map."""
     if not table:
         return F.lit(default)
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for item in sorted(table.items()) for x in item]), name), F.lit(default))
+    return F.coalesce(F.try_element_at(F.from_json(F.lit(json.dumps(table)), "map<string,double>"), name), F.lit(default))
 
 
 def spans(docs: DataFrame) -> DataFrame:

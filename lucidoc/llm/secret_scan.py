@@ -390,7 +390,7 @@ def secret_spans(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFr
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts of base finds, the SHA-256 of their list, and the list of all finds."""
+    """doc_id, the counts of base finds, the SHA-256 of their list, and the list of all finds; nulls and the like as in `secret_spans`."""
     return per_document(docs, _digest, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
@@ -409,7 +409,7 @@ def mask(text: str | None, fill: str = "[SECRET]") -> str | None:
 
 def masked(docs: DataFrame, fill: str = "[SECRET]") -> DataFrame:
     """Documents with their secrets replaced and, where there is one, n_chars brought up to date;
-    all rows and other columns stay as they are."""
+    all rows and other columns stay as they are, whatever they are called. Null and empty texts stay; an empty table gives no rows."""
     prepare(docs.sparkSession)
     names, schema = docs.columns, docs.schema
 

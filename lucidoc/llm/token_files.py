@@ -138,8 +138,9 @@ def decode_segment(payload: bytes, blocks: slice = slice(None)) -> np.ndarray:
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, segment: int = SEGMENT) -> None:
     """Encode whole texts (null: empty), append the end id to each and write files in doc_id order.
 
-    Range partitions of doc_id, sorted, become a file each; `file_no` rises with doc_id. Rows of one
-    doc_id stand in order of their texts. Other columns are ignored; an empty table makes an empty table.
+    Range partitions of doc_id, sorted, become a file each; `file_no` rises with doc_id, null ids come first. Rows of one
+    doc_id stand in order of their texts' hashes, and are dealt to as many tasks as they need. Other columns are ignored; an empty
+    table makes an empty table.
     """
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
@@ -174,12 +175,15 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, segm
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = list(to_arrow_schema(schema))
-    ordered = base.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The last keys part rows of one id, or rows that are repeated.
+    base = base.withColumn("h", F.xxhash64("text")).withColumn("at", F.monotonically_increasing_id())
+    ordered = base.repartitionByRange("doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "at").select("doc_id", "text")
     ordered.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document in the files."""
+    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document in the files, and with `with_ids`
+    the ids. A null id is read as one; a repeated one has a row for each document; an empty table gives no rows."""
     files = spark.read.parquet(path)
     # A row for each file, so as many as tasks wrote: few enough for one window and a broadcast.
     totals = files.groupBy("file_no").agg(F.sum("n_ids").alias("n"))
@@ -209,7 +213,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write the files to a new shared folder and read them back."""
+    """Write the files to a new shared folder and read them back; nulls and the like as in `write`."""
     path = f"{scratch(docs.sparkSession)}/ids"
     write(docs, tokenizer, path)
     return read(docs.sparkSession, path)

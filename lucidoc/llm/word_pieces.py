@@ -5,8 +5,9 @@ edge leads on from v, the greedy tokenizer would cut that many tokens off the fr
 string, and what is left is the string of the link's node. So a text's count comes from one pass
 over its characters without going back and without building pieces.
 
-A vocabulary marks either word ends ("</w>" after the last piece of a word) or continuations
-("##" before all pieces but the first).
+The automaton takes a set of pieces that begin words and one of pieces that continue them, so it fits vocabularies that mark
+word ends ("</w>" after the last piece, the same set twice) as well as those that mark continuations. `WordPieceCounter` reads files of the first kind.
+A file whose own algorithm is merging pairs may split a word in more pieces than greedy matching does: this counts word pieces, not its tokens.
 """
 
 from __future__ import annotations
