@@ -1,4 +1,9 @@
-"""From raw documents to packed token sequences, in stages that each write a table."""
+"""From raw documents to packed token sequences, in stages that each write a table.
+
+Every stage takes any table with the columns of documents, empty ones included, whatever other columns it has: null and empty
+texts go at the quality rules, and stay in the other stages; rows that are repeated are judged each, and one of them stays
+at near-duplicate removal.
+"""
 
 from __future__ import annotations
 
@@ -31,8 +36,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences."""
-    return packing.pack(docs, vocabulary(VOCABULARY), remember=150_000)
+    """Pieces of the documents in sequences, with their ids: `packing.assembled` joins them to what a model is trained on."""
+    return packing.pack(docs, vocabulary(VOCABULARY), keep_ids=True, remember=150_000)
 
 
 STAGES = [
@@ -48,6 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that the stages keep; each stage but the last is written before the next begins."""
     docs, folder = load(spark, sf_dir, "documents"), scratch(spark)
     for k, (_, stage) in enumerate(STAGES[:-1]):
         docs = stored(stage(spark, docs, sf_dir), folder, f"stage-{k}")
