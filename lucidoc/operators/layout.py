@@ -17,7 +17,8 @@ PAGE = ["doc_id", "page_no"]
 
 def looks_scanned(pages: DataFrame, spans: DataFrame, images: DataFrame) -> DataFrame:
     """Pages with hardly any text and an image over half of them; any placement counts."""
-    chars = spans.groupBy(*PAGE).agg(F.string_agg("text", F.lit("")).alias("t")).select(*PAGE, F.length(strip(F.col("t"))).alias("chars"))
+    chars = spans.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct(*[c for c in ("block_no", "line_no", "span_no") if c in spans.columns], "text"))).alias("t"))
+    chars = chars.select(*PAGE, F.length(strip(F.array_join(F.transform("t", lambda x: x["text"]), ""))).alias("chars"))
     big = images.filter(F.col("bbox").isNotNull()).join(pages, PAGE)
     big = big.filter((F.col("width") * F.col("height") > 0) & (area(F.col("bbox")) >= BIG_IMAGE * F.col("width") * F.col("height")))
     out = pages.join(chars, PAGE, "left").filter(F.coalesce("chars", F.lit(0)) < SCAN_CHARS)

@@ -25,6 +25,7 @@ from ..sources.docx_writer import with_docx
 from ..sources.html import html_blocks, html_links, html_meta
 from ..sources.layout import accepted, ocr_gate, recognised
 from ..streaming import jobs
+from ..tables import scratch, stored
 from . import language_id, layout_documents, accessible
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,9 +57,11 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("bbox", rect(x0, y0, x0 + 5 * F.length("text"), y0 + size))
 
 
-def layout(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The layout tables that the formula gives."""
+def layout(spark: SparkSession, sf_dir: str, keep: bool = False) -> dict[str, DataFrame]:
+    """The layout tables that the formula gives; with `keep` the lines that all come from are stored first, for plans that read many."""
     all_lines = lines(spark, sf_dir)
+    if keep:
+        all_lines = stored(all_lines.repartition("doc_id"), scratch(spark), "lines")
     spans = all_lines.select(*PAGE, F.col("line_no").alias("block_no"), F.lit(0).alias("line_no"), F.lit(0).alias("span_no"), "text", "size", F.lit(0).alias("style_flags"), "bbox")
     pages = all_lines.groupBy("doc_id").agg((F.max("page_no") + 1).alias("page_count"))
     each = pages.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("page_count") - 1)).alias("page_no"), "page_count")
@@ -135,9 +138,14 @@ def report_html(spark, sf_dir):
     return web_rebuilt(spark, sf_dir).report_html
 
 
+#: Pages with links in every way of writing one.
+LINK_PAGE = """<body><a class=x href='a?x=1&amp;y=2'>one</a> <a href="b"><b>two</b> and <i>more</i></a> <a href=c>three &eacute;</a><a href="">four</a><a name="n">none</a><script>"<a href='s'>s</a>"</script><p><A HREF = "d"><img src=i></a></body>"""
+
+
 @query
 def page_links(spark, sf_dir):
-    return html_links(web(spark, sf_dir))
+    pages = web(spark, sf_dir).select("doc_id", "html").unionByName(inline(spark, [(-1, LINK_PAGE), (-2, None), (-3, "")], "doc_id long, html string"))
+    return html_links(pages)
 
 
 @query
@@ -289,14 +297,18 @@ def page_sample(spark, sf_dir):
     return hd.page_sample(docs, hd.SAMPLE_PAGES)
 
 
-def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = layout(spark, sf_dir)
+def sampled_histogram(t: dict[str, DataFrame]) -> DataFrame:
     return hd.size_histogram(t["spans"], hd.page_sample(t["doc_meta"], hd.SAMPLE_PAGES))
 
 
+def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored, as bodies, tiers, blocks and headings all read it."""
+    return stored(sampled_histogram(layout(spark, sf_dir)), scratch(spark), "histogram")
+
+
 @query
 def size_histogram(spark, sf_dir):
-    return histogram(spark, sf_dir).select("doc_id", "size", "chars")
+    return sampled_histogram(layout(spark, sf_dir)).select("doc_id", "size", "chars")
 
 
 @query
@@ -324,7 +336,8 @@ def block_size(spark, sf_dir):
 
 
 def layout_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, h = layout(spark, sf_dir), histogram(spark, sf_dir)
+    t = layout(spark, sf_dir, keep=True)
+    h = stored(sampled_histogram(t), scratch(spark), "histogram")
     body = hd.body_size(h, t["doc_meta"])
     return hd.headings(t["spans"].select(*PAGE, "block_no", "text"), hd.block_size(t["spans"], body), hd.heading_tiers(h, body), h)
 
@@ -494,12 +507,12 @@ def recognised_pages(spark, sf_dir):
 
 def layout_rebuilt(spark: SparkSession, sf_dir: str) -> accessible.AccessibleDocuments:
     detected = inline(spark, [], "doc_id long, code string, confidence double")
-    return accessible.from_layout(layout_documents.LayoutDocuments(layout(spark, sf_dir)), detected)
+    return accessible.from_layout(layout_documents.LayoutDocuments(layout(spark, sf_dir, keep=True)), detected)
 
 
 @query
 def layout_blocks(spark, sf_dir):
-    return layout_documents.LayoutDocuments(layout(spark, sf_dir)).blocks.groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+    return layout_documents.LayoutDocuments(layout(spark, sf_dir, keep=True)).blocks.groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query
@@ -533,7 +546,8 @@ def language_grams(spark, sf_dir):
 @query
 def language_id_accuracy(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    best = language_id.classify(docs, language_id.train(docs))
+    own = stored(language_id.grams(docs), scratch(spark), "grams")
+    best = language_id.classify(docs, language_id.train(docs, own), own)
     return best.join(docs.select("doc_id", "lang"), "doc_id").select("doc_id", "lang", "code")
 
 

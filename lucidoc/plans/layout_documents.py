@@ -36,7 +36,8 @@ def merged_runs(lines: Column) -> Column:
 class LayoutDocuments:
     """Tables of one run; `blocks`, `document_flags`, `block_flags` and `docs` are the results.
 
-    What several later steps read is stored once in the shared folder: sizes, reading order, matched links and blocks.
+    What several later steps read is stored once in the shared folder: sizes, reading order, matched links and blocks. The given
+    tables are read as they are, so they should be stored; pictures' bytes are read for the blocks alone.
 
     t: pages, spans, blocks_raw, links_raw, tables_raw, images_raw, doc_meta (see the schemas). Pages in
     `scanned` had their text recognised.
@@ -46,7 +47,7 @@ class LayoutDocuments:
         spark = t["pages"].sparkSession
         folder = scratch(spark)
         self.keep = lambda df, name: stored(df, folder, name)
-        self.t = t = {name: self.keep(df, name) for name, df in t.items()}
+        self.t = t
         self.docs = t["doc_meta"]
         self.scanned = scanned if scanned is not None else spark.createDataFrame([], "doc_id long, page_no int")
         sample = hd.page_sample(self.docs, hd.SAMPLE_PAGES)

@@ -115,11 +115,14 @@ ALTS = "VALUES ('Picture1.jpg'), ('IMG_001.png'), ('image 3.jpeg'), ('DSC1234'),
 TITLES = "VALUES ('Microsoft Word - Plan.docx'), ('microsoft word - a b.DOC'), ('Microsoft Word - x.rtf'), ('Microsoft Word - y'), ('Plan'), ('  Microsoft Word - z.doc  '), ('Microsoft Word - .docx')"
 TEXTS = """VALUES (-1, 'Hello 京都 and more English text around it, long enough to be Latin'), (-2, 'これは日本語の文章です'), (-3, 'Привет, мир'), (-4, 'שלום עולם'), (-5, '123 456'), (-6, 'abcdefg Ω Ж'), (-7, 'ΑΒ ЖЗ'), (-8, 'नमस्ते दुनिया')"""
 
+GRAMS = r"""WITH low AS (SELECT doc_id, lang, lower(text) AS t FROM documents),
+       g AS (SELECT doc_id, lang, substr(t, i, 3) AS gram, count(*) AS n FROM low, unnest(range(1, length(t) - 1)) AS u(i) WHERE regexp_matches(substr(t, i, 3), '^\p{L}{3}$') GROUP BY 1, 2, 3)"""
+
 ORACLE_SQL: dict[str, str] = {
     "severity_by_page": f"SELECT page_id AS doc_id, CAST({ADS} AS BIGINT) AS total_items, 0::BIGINT AS auto_fixed, CAST({ADS} AS BIGINT) AS needs_human_review, 0::BIGINT AS info FROM pages",
     "report_totals": f"SELECT 'needs-human-review' AS severity, 'UNMAPPED_BLOCK' AS code, 'R2' AS r_number, count(*) AS items FROM pages WHERE {ADS}",
     "page_blocks": f"SELECT page_id AS doc_id, CAST(len(regexp_extract_all(html, '(?is)<h[1-6][^>]*>[^<]+')) AS BIGINT) AS headings, CAST({ADS} AS BIGINT) AS unmapped FROM pages",
-    "page_links": f"WITH {LINKS} SELECT * FROM pl",
+    "page_links": f"""WITH {LINKS} SELECT * FROM pl UNION ALL VALUES (-1, 0, 'one', 'a?x=1&y=2'), (-1, 1, 'two and more', 'b'), (-1, 2, 'three é', 'c'), (-1, 3, 'four', ''), (-1, 4, '', 'd')""",
     "generic_links": f"""WITH {LINKS}, al AS (SELECT * FROM pl UNION ALL {LINK_CASES}), r AS (SELECT doc_id, link_ord, text,
        CASE WHEN lower({strip('text')}) IN ({GENERIC}) THEN 'generic link text' WHEN regexp_matches({strip('text')}, '(?i)^(https?://|www\\.)[^\\s]+$') THEN 'a bare URL as link text' END AS reason FROM al)
        SELECT *, reason IS NOT NULL AS flagged FROM r""",
@@ -215,11 +218,11 @@ ORACLE_SQL: dict[str, str] = {
     "language_decision": f"""WITH d AS (SELECT doc_id, length({strip('text')}) AS n, lang, CASE WHEN doc_id % 7 = 0 THEN 'la' WHEN doc_id % 7 = 1 THEN 'ru' ELSE lang END AS code, (doc_id % 10) / 10 AS c FROM documents)
        SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN lang || '-XX' WHEN n >= 40 AND c >= 0.7 AND code <> 'la' THEN code ELSE 'en' END AS lang,
               CASE WHEN doc_id % 4 = 0 THEN NULL WHEN n >= 40 AND c >= 0.7 AND code <> 'la' THEN 'LANG_DETECTED' ELSE 'LANG_ASSUMED' END AS flag FROM d""",
-    "language_grams": "SELECT lang, gram, count(*) AS n FROM documents, unnest(regexp_extract_all(lower(text), '\\p{L}{3}')) AS u(gram) GROUP BY 1, 2",
-    "language_id_accuracy": """WITH g AS (SELECT doc_id, lang, gram, count(*) AS n FROM documents, unnest(regexp_extract_all(lower(text), '\\p{L}{3}')) AS u(gram) GROUP BY 1, 2, 3),
+    "language_grams": f"{GRAMS} SELECT lang, gram, sum(n) AS n FROM g GROUP BY 1, 2",
+    "language_id_accuracy": f"""{GRAMS},
        c AS (SELECT lang AS code, gram, sum(n) AS n FROM g GROUP BY 1, 2), v AS (SELECT count(DISTINCT gram) AS v FROM c), t AS (SELECT code, sum(n) AS total FROM c GROUP BY 1),
        s AS (SELECT g.doc_id, any_value(g.lang) AS lang, t.code, sum(g.n * ln((coalesce(c.n, 0) + 1) / (t.total + v.v))) AS score FROM g, v, t LEFT JOIN c ON c.code = t.code AND c.gram = g.gram GROUP BY g.doc_id, t.code)
-       SELECT doc_id, any_value(lang) AS lang, arg_max(code, score) AS code FROM s GROUP BY 1""",
+       SELECT doc_id, d.lang, code FROM documents d LEFT JOIN (SELECT doc_id, arg_max(code, score) AS code FROM s GROUP BY 1) USING (doc_id)""",
     "render_runs": f"""SELECT item_id, '<em><strong>' || replace({escaped('text')}, chr(10), '<br>') || '</strong></em><strong>a&lt;b&gt;&amp;<br>' || replace({escaped("string_split(text, ' ')[1]")}, chr(10), '<br>') || '</strong><a href="x?a=1&amp;b=&quot;2&quot;">' || {escaped("string_split(text, ' ')[1]")} || '</a>' AS html FROM benchmark""",
     "render_table_rows": """WITH w AS (SELECT item_id, list_transform(string_split(text, ' '), lambda x: replace(x, chr(10), '<br>')) AS w FROM benchmark)
        SELECT item_id, '<table><caption>A &amp; B</caption><thead><tr><th scope="col">' || w[1] || '</th><th scope="col" colspan="2">' || w[2] || '</th></tr></thead><tbody><tr>' ||

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import BLOCK
 from ..shipping import ship
-from .markup import Node, blocks, parse
+from .markup import HIDDEN, Node, blocks, parse
 
 
 def _attribute(root: Node, tag: str, name: str) -> str | None:
@@ -18,6 +19,12 @@ def _attribute(root: Node, tag: str, name: str) -> str | None:
     return node.attrs.get(name) if node is not None else None
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """The pages in as many partitions as there are cores, where they come in fewer (a small input is often one file)."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+
+
 def html_blocks(pages: DataFrame, descend: bool = True) -> DataFrame:
     """doc_id and the blocks of each page (doc_id, html), in order. A null or empty page has none.
 
@@ -34,21 +41,41 @@ def html_blocks(pages: DataFrame, descend: bool = True) -> DataFrame:
                 out[c] = out[c].astype(object).where(out[c].notna(), None)
             yield out
 
-    return pages.select("doc_id", "html").mapInPandas(walk, f"doc_id long, {BLOCK}")
+    return spread(pages.select("doc_id", "html")).mapInPandas(walk, f"doc_id long, {BLOCK}")
 
 
 def html_meta(pages: DataFrame) -> DataFrame:
-    """doc_id, meta_title and meta_lang as the page's head declares them."""
-    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
-    for entity, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        title = F.replace(title, F.lit(entity), F.lit(raw))
+    """doc_id, meta_title and meta_lang as the page's head declares them; entities of the title are decoded."""
+    ship(pages.sparkSession)
+
+    @F.pandas_udf("string")
+    def decoded(text: pd.Series) -> pd.Series:
+        return text.map(unescape)
+
+    title = F.coalesce(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(""))
     lang = F.regexp_extract("html", r"(?is)<html[^>]*\slang=[\"']?([^\"'\s>]+)", 1)
-    return pages.select("doc_id", F.nullif(title, F.lit("")).alias("meta_title"), F.nullif(lang, F.lit("")).alias("meta_lang"))
+    return pages.select("doc_id", F.nullif(decoded(title), F.lit("")).alias("meta_title"), F.nullif(lang, F.lit("")).alias("meta_lang"))
+
+
+def anchors(node: Node) -> Iterator[Node]:
+    """Links of a tree in document order; what scripts and styles hold isn't markup."""
+    for c in node.children:
+        if isinstance(c, Node) and c.tag not in HIDDEN:
+            if c.tag == "a" and "href" in c.attrs:
+                yield c
+            yield from anchors(c)
 
 
 def html_links(pages: DataFrame) -> DataFrame:
-    """Every hyperlink of the raw pages (doc_id, html), navigation included: link_ord, text and href as written, without parsing."""
-    pattern = F.lit(r"(?is)<a\s[^>]*?href=\"([^\"]*)\"[^>]*>([^<]*)</a>")
-    texts, hrefs = F.regexp_extract_all("html", pattern, F.lit(2)), F.regexp_extract_all("html", pattern, F.lit(1))
-    rows = pages.select("doc_id", F.posexplode(F.arrays_zip(texts.alias("text"), hrefs.alias("href"))).alias("link_ord", "l"))
-    return rows.select("doc_id", "link_ord", "l.text", "l.href")
+    """Every hyperlink of the raw pages (doc_id, html), navigation included: link_ord, text (of all it holds) and href, decoded.
+
+    Quotes of either kind, none, and markup inside the link are all the same to the parser. A null or empty page has no links.
+    """
+    ship(pages.sparkSession)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(doc, k, a.text(), a.attrs["href"]) for doc, html in zip(batch["doc_id"], batch["html"]) for k, a in enumerate(anchors(parse(html or "")))]
+            yield pd.DataFrame(rows, columns=["doc_id", "link_ord", "text", "href"])
+
+    return spread(pages.select("doc_id", "html")).mapInPandas(walk, "doc_id long, link_ord int, text string, href string")
