@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -59,6 +60,21 @@ class Memory(dict):
                 other.clear()
 
 
+def released(run: Callable) -> Callable:
+    """`run`, a function of Arrow batches, which at its end gives the system back what the worker holds but doesn't use.
+
+    Workers live on from stage to stage, and an idle one would keep the most it ever needed."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -160,4 +176,4 @@ def per_document(df: DataFrame, function: Callable[[list], dict], schema: str, k
     extra = _parse_datatype_string(schema)
     full = StructType([base.schema[k] for k in keys] + extra.fields)
     arrow = [f.with_nullable(True) for f in to_arrow_schema(full)]
-    return base.mapInArrow(run, full)
+    return base.mapInArrow(released(run), full)

@@ -33,13 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import FOLD, WORDS, Memory, discarded, hot_join, per_document, scratch, slices, stored, unlike, weighed
+from .common import FOLD, WORDS, Memory, discarded, hot_join, per_document, released, scratch, slices, stored, unlike, weighed
 
 BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 SHINGLE, PERCENT = 5, 80
 BLOOM_BITS = 1 << 23
+BLOCK = 1 << 14
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,19 +81,21 @@ def sketch(elements: np.ndarray, m: int = REGISTERS) -> np.ndarray:
     rising order, and an element is done once it is past the largest minimum: elements of large sets need few.
     """
     least = np.full(m, np.inf)
-    alive, at, serial = elements, np.zeros(len(elements)), 0
-    while len(alive):
-        count = max(4, 3200 // len(alive) + 1)
-        steps = np.arange(serial, serial + count, dtype=np.uint64) * MIX
-        bits = scrambled(alive[:, None] + steps[None, :])
-        gaps = -np.log((bits >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / m
-        gaps[:, 0] += at
-        points = np.cumsum(gaps, axis=1)
-        register = ((scrambled(bits ^ MIX) >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        np.minimum.at(least, register.astype(np.int64).reshape(-1), points.reshape(-1))
-        at, serial = points[:, -1], serial + count
-        keep = at < least.max()
-        alive, at = alive[keep], at[keep]
+    for start in range(0, len(elements), BLOCK):  # minima merge, so a long text takes no more memory than a block
+        alive = elements[start : start + BLOCK]
+        at, serial = np.zeros(len(alive)), 0
+        while len(alive):
+            count = max(4, 3200 // len(alive) + 1)
+            steps = np.arange(serial, serial + count, dtype=np.uint64) * MIX
+            bits = scrambled(alive[:, None] + steps[None, :])
+            gaps = -np.log((bits >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / m
+            gaps[:, 0] += at
+            points = np.cumsum(gaps, axis=1)
+            register = ((scrambled(bits ^ MIX) >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+            np.minimum.at(least, register.astype(np.int64).reshape(-1), points.reshape(-1))
+            at, serial = points[:, -1], serial + count
+            keep = at < least.max()
+            alive, at = alive[keep], at[keep]
     return np.clip(np.floor(1 - np.log(least / RATE) / np.log(BASE)), 0, TOP).astype("<u2")
 
 
@@ -246,7 +249,7 @@ class NearDuplicates:
         some = sketched.filter(F.col("n") > 0)
         classes = some.groupBy("sig", "n").agg(F.min("doc_id").alias("least"), F.min("regs").alias("regs"))
         nodes = self.keep(classes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-        bands = nodes.select("nid", "regs").mapInArrow(_bands, "key long, nid long")
+        bands = nodes.select("nid", "regs").mapInArrow(released(_bands), "key long, nid long")
         buckets = bands.groupBy("key").agg(F.min("nid").alias("leader"), F.max("nid").alias("last")).filter("leader < last").select("key", "leader")
         members = self.keep(bands.join(buckets, "key"), "members")
         first = members.groupBy("nid").agg(F.min("leader").alias("leader"))
@@ -291,7 +294,7 @@ class NearDuplicates:
         bucket of sizes (buckets grow by a sixteenth): x is in one, y looks in those it allows. For each shingle and bucket, classes outside its commonest
         label meet the others; those inside never meet.
         """
-        explode = self.sets.join(rest.select("nid"), "nid", "left_semi").select("nid", "elements").mapInArrow(_elements, "nid long, token long")
+        explode = self.sets.join(rest.select("nid"), "nid", "left_semi").select("nid", "elements").mapInArrow(released(_elements), "nid long, token long")
         tokens = self.keep(explode, "tokens")
         n = tokens.count()
         shared = self.keep(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
@@ -353,7 +356,7 @@ class NearDuplicates:
 
         base = self.docs.select("doc_id", "text", F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).alias("place"))
         kind = self.docs.schema["doc_id"].dataType.simpleString()
-        sets = base.mapInArrow(run, f"least {kind}, sig binary, elements binary")
+        sets = base.mapInArrow(released(run), f"least {kind}, sig binary, elements binary")
         wanted = picked.select("nid", "sig", "least")
         joined = sets.join(wanted, (sets["sig"] == wanted["sig"]) & sets["least"].eqNullSafe(wanted["least"])).select("nid", "elements")
         return joined.dropDuplicates(["nid"])
@@ -363,7 +366,7 @@ class NearDuplicates:
         pairs = self.keep(pairs, f"pairs-{name}")
         side = lambda s, r: picked.select(F.col("nid").alias(s), F.col("n").alias(f"n{s}"), F.col("regs").alias(r))
         sized = self.with_sides(pairs, side("a", "ra"), side("b", "rb")).filter(self.near_sizes("na", "nb"))
-        likely = sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(partial(_estimate, floor_of(self.percent)), "a long, b long")
+        likely = sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(released(partial(_estimate, floor_of(self.percent))), "a long, b long")
         return self.exact(self.keep(likely, f"likely-{name}"))
 
     def with_sides(self, pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -390,7 +393,7 @@ class NearDuplicates:
             sets = sets.join(F.broadcast(ids), "nid", "left_semi")
         side = lambda s: sets.select(F.col("nid").alias(s), F.col("elements").alias(f"s{s}"))
         both = self.with_sides(likely, side("a"), side("b"))
-        return both.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long, common long, total long")
+        return both.select("a", "b", "sa", "sb").mapInArrow(released(_verify), "a long, b long, common long, total long")
 
     def labels(self, seen: DataFrame, picked: DataFrame, name: str) -> DataFrame:
         """nid and label of all picked classes."""

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, slices
+from .common import prepare, released, slices
 from .encoding import encoder
 
 CAPACITY, GROUP, END_ID = 4096, 1024, 2
@@ -136,7 +136,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = GROU
     kind = base.schema["doc_id"].dataType.simpleString()
     schema = T._parse_datatype_string(PIECES.format(kind) + (", ids binary" if keep_ids else ""))
     arrow = list(to_arrow_schema(schema))
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(released(run), schema)
 
 
 def assembled(pieces: DataFrame) -> DataFrame:

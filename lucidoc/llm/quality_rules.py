@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WORDS, per_document, prepare
+from .common import BLANKS, WORDS, per_document, prepare, released
 
 SYMBOLS = "#*$%&|<>"
 
@@ -201,4 +201,4 @@ def filtered(docs: DataFrame, rules: dict = RULES) -> DataFrame:
             keep = [verdict(TextView(t), order, rules) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import per_document, prepare
+from .common import per_document, prepare, released
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -423,4 +423,4 @@ def masked(docs: DataFrame, fill: str = "[SECRET]") -> DataFrame:
                 columns["n_chars"] = pa.array(changed, old.type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
