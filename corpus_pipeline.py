@@ -37,7 +37,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences, with their ids: `packing.assembled` joins them to what a model is trained on."""
-    return packing.pack(docs, vocabulary(VOCABULARY), keep_ids=True, remember=150_000)
+    return packing.pack(docs, vocabulary(VOCABULARY), keep_ids=True, remember=60_000)
 
 
 STAGES = [
