@@ -89,14 +89,18 @@ def image_html(data: Column, mime: Column, alt: Column, decorative: Column, need
 
 
 def blocks_html(blocks: DataFrame) -> DataFrame:
-    """Blocks with `html`. Needs kind, runs, level_final, ordered, items, cells, n_rows, header_row, and for images data, mime_type, alt, decorative, needs_review, image_href."""
+    """Blocks with `html`. Needs kind, runs, level_final, ordered, items, cells, n_rows, header_row, and for images data, mime_type, alt, decorative, needs_review, image_href.
+
+    No source sets a table's caption or header_col; blocks that have these columns are shown with them."""
+    caption = F.col("caption") if "caption" in blocks.columns else None
+    header_col = F.coalesce("header_col", F.lit(False)) if "header_col" in blocks.columns else None
     level = F.col("level_final").cast("string")
     kind = F.col("kind")
     html = (
         F.when(kind == "heading", F.concat(F.lit("<h"), level, F.lit(">"), runs_html(F.col("runs")), F.lit("</h"), level, F.lit(">")))
         .when(kind == "paragraph", F.concat(F.lit("<p>"), runs_html(F.col("runs")), F.lit("</p>")))
         .when(kind == "list", list_html(F.col("ordered"), F.col("items")))
-        .when(kind == "table", table_html(F.col("cells"), F.col("header_row"), F.col("n_rows")))
+        .when(kind == "table", table_html(F.col("cells"), F.col("header_row"), F.col("n_rows"), caption, header_col))
         .when(kind == "image", image_html(F.col("data"), F.col("mime_type"), F.col("alt"), F.col("decorative"), F.col("needs_review"), F.col("image_href")))
         .otherwise(F.raise_error(F.concat(F.lit("unknown block kind: "), kind)))
     )

@@ -122,9 +122,11 @@ def markup_blocks(blocks: DataFrame, images: DataFrame | None = None) -> DataFra
 
 
 def table_fixes(blocks: DataFrame) -> DataFrame:
-    """Tables whose first row becomes a header by default."""
+    """Tables whose first row becomes a header by default, located by their caption if they have one."""
     found = blocks.filter((F.col("kind") == "table") & ~F.col("header_row") & (F.col("n_rows") > 0))
-    return found.select("doc_id", (F.col("block_ord") + 1_000_000).alias("fix_ord"), F.lit("HEADER_ROW_AUTO_ADDED").alias("code"), F.lit("1.3.1").alias("wcag_sc"), F.lit("The first row was made a header row by default; verify it.").alias("message"), F.lit("table").alias("location"))
+    caption = F.col("caption") if "caption" in blocks.columns else F.lit(None).cast("string")
+    location = F.when(F.coalesce(caption, F.lit("")) != "", caption).otherwise("table")
+    return found.select("doc_id", (F.col("block_ord") + 1_000_000).alias("fix_ord"), F.lit("HEADER_ROW_AUTO_ADDED").alias("code"), F.lit("1.3.1").alias("wcag_sc"), F.lit("The first row was made a header row by default; verify it.").alias("message"), location.alias("location"))
 
 
 def mime_flags(blocks: DataFrame) -> DataFrame:

@@ -69,13 +69,23 @@ def status(jobs: DataFrame) -> DataFrame:
 
 
 def run(stream: DataFrame, process, folder: str, checkpoint: str) -> StreamingQuery:
-    """Process each micro-batch of admitted uploads with `process(batch)` -> results, appended with their log; a restart goes on from the checkpoint."""
+    """Process each micro-batch of admitted uploads with `process(batch)` -> results, appended with their log; a restart goes on from the checkpoint.
+
+    The log has a row for each state a job enters: queued since the upload, processing, then done; or error alone. A batch that is
+    run again repeats rows, and `latest` tells where each job stands.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        def log(jobs: DataFrame, at: Column, state: Column) -> DataFrame:
+            return jobs.select(F.col("doc_id").alias("job_id"), at.alias("at"), state.alias("state"), F.col("filename").alias("original_filename"), "error")
+
+        begun = F.explode(F.array(F.struct(F.col("created_at").alias("at"), F.lit("queued").alias("state")), F.struct(F.current_timestamp().alias("at"), F.lit("processing").alias("state"))))
+        started = batch.filter("error IS NULL").drop("state", "content").withColumn("begun", begun)
+        log(started, F.col("begun.at"), F.col("begun.state")).write.mode("append").parquet(f"{folder}/jobs")
         results = process(batch)
         results.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{folder}/results")
-        log = batch.select(F.col("doc_id").alias("job_id"), F.current_timestamp().alias("at"), F.when(F.col("error").isNull(), "done").otherwise("error").alias("state"), F.col("filename").alias("original_filename"), "error")
-        log.write.mode("append").parquet(f"{folder}/jobs")
+        ended = F.when(F.col("error").isNull(), "done").otherwise("error")
+        log(batch, F.current_timestamp(), ended).write.mode("append").parquet(f"{folder}/jobs")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

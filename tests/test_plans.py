@@ -55,6 +55,16 @@ def test_merged_cells(spark):
     assert codes(result) == ["TITLE_PROMOTED_TO_H1", "COMPLEX_TABLE_STRUCTURE"]
 
 
+def test_captions_and_header_columns(spark):
+    pages = spark.createDataFrame([(1, "f.docx", "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>")], "doc_id long, filename string, html string")
+    meta = spark.createDataFrame([(1, "f.docx", "T", "en")], META)
+    blocks = html_blocks(pages, False).withColumn("caption", F.lit("Sales & costs")).withColumn("header_col", F.lit(True))
+    result = accessible.from_markup(meta, blocks, spark.createDataFrame([], NOT_DETECTED))
+    page = result.html.first().html
+    assert "<table><caption>Sales &amp; costs</caption><thead>" in page and '<tr><th scope="row">c</th><td>d</td></tr>' in page
+    assert [r.location for r in result.fixes.filter("code = 'HEADER_ROW_AUTO_ADDED'").collect()] == ["Sales & costs"]
+
+
 def fold(levels):
     out, seen, before = [], False, 0
     for level in levels:
@@ -205,7 +215,9 @@ def test_upload_stream(spark, tmp_path):
         stream = jobs.admitted(jobs.uploads(spark, str(uploads)))
         jobs.run(stream, process, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     log = spark.read.parquet(str(tmp_path / "out" / "jobs"))
-    assert {(r.original_filename, r.state) for r in log.collect()} == {("a.docx", "done"), ("b.txt", "error")} and log.count() == 2
+    states = [(r.original_filename, r.state) for r in log.orderBy("original_filename", "at").collect()]
+    assert states == [("a.docx", "queued"), ("a.docx", "processing"), ("a.docx", "done"), ("b.txt", "error")]
+    assert {(r.original_filename, r.state) for r in jobs.latest(log).collect()} == {("a.docx", "done"), ("b.txt", "error")}
     assert spark.read.parquet(str(tmp_path / "out" / "results")).count() == 1
 
 
