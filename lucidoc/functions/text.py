@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Patterns, phrases and formats that results depend on.
 BULLET = r"(?U)^[•‣◦⁃∙·\-–]\s+"
 NUMBERED = r"(?U)^(\d{1,3}|[a-zA-Z])[.\)]\s+"
+SPACE = r"[\s\x1c-\x1f]"
+#: A list prefix where the stripped text begins with it: something else than space has to follow its blank.
+IN_STRIPPED = r"(?U)^[\s\x1c-\x1f]*+{}[\s\x1c-\x1f]*+[^\s\x1c-\x1f]"
 WORD_TITLE = r"(?Ui)^Microsoft Word - (.+?)(\.docx?|\.rtf)?$"
 FILENAME_ALT = r"(?Ui)^(img|image|pic|picture|photo|graphic|figure)[\s_-]*\d*\.\w+$"
 NUMBERED_ALT = r"(?Ui)^(img|image|pic|dsc)[_\s-]?\d+$"
@@ -33,8 +36,9 @@ UUID = "^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-f
 
 
 def strip(text: Column) -> Column:
-    """Without white space (Unicode, and the four ASCII separators) at either end."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    """Without white space (Unicode, and the four ASCII separators) at either end. Most texts have none there, and aren't searched."""
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(rf"(?U){SPACE}"), F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+\z", "")).otherwise(text)
 
 
 def without_space(text: Column) -> Column:
@@ -56,15 +60,15 @@ def clean_runs(runs: Column) -> Column:
 
 
 def is_bullet(text: Column) -> Column:
-    return strip(text).rlike(BULLET)
+    return text.rlike(IN_STRIPPED.format(BULLET.removeprefix("(?U)^").removesuffix("+")))
 
 
 def is_numbered(text: Column) -> Column:
-    return strip(text).rlike(NUMBERED)
+    return text.rlike(IN_STRIPPED.format(NUMBERED.removeprefix("(?U)^").removesuffix("+")))
 
 
 def is_list_item(text: Column) -> Column:
-    return strip(text).rlike(BULLET) | strip(text).rlike(NUMBERED)
+    return is_bullet(text) | is_numbered(text)
 
 
 def strip_list_prefix(text: Column) -> Column:

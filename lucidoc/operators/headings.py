@@ -30,8 +30,9 @@ def span_order() -> list[str]:
 
 def size_histogram(spans: DataFrame, sample: DataFrame | None = None) -> DataFrame:
     """Stripped characters by rounded size, with the first place each size is met; blank spans don't count."""
-    rows = spans if sample is None else spans.join(sample, ["doc_id", "page_no"], "left_semi")
-    rows = rows.withColumn("n", F.length(strip(F.col("text")))).filter("n > 0")
+    rows = spans.withColumn("n", F.length(strip(F.col("text")))).filter("n > 0").drop("text")
+    if sample is not None:  # an inner join, as Spark would push a semi join below, and shuffle texts
+        rows = rows.join(sample.select("doc_id", "page_no").distinct(), ["doc_id", "page_no"])
     return rows.groupBy("doc_id", half_points(F.col("size")).alias("size")).agg(
         F.sum("n").alias("chars"), F.min(F.struct(*span_order())).alias("first_at")
     )

@@ -163,8 +163,8 @@ def from_markup(meta: DataFrame, blocks: DataFrame, detected: DataFrame, images:
 
 
 def from_layout(found, detected: DataFrame) -> AccessibleDocuments:
-    """Documents of a LayoutDocuments."""
-    title = titles(found.docs, found.blocks, layout=True)
-    lang = languages(found.docs, plain_texts(found.blocks), detected)
+    """Documents of a LayoutDocuments; titles and languages are stored, as flags, headings and HTML read them."""
+    title = found.keep(titles(found.docs, found.blocks, layout=True), "titles")
+    lang = found.keep(languages(found.docs, plain_texts(found.blocks), detected), "languages")
     docs = title.select("doc_id", "title").join(lang.select("doc_id", "lang"), "doc_id")
     return rebuilt(docs, found.blocks, document_flags(lang, title, found.document_flags), found.block_flags)

@@ -25,7 +25,7 @@ from ..sources.docx_writer import with_docx
 from ..sources.html import html_blocks, html_links, html_meta
 from ..sources.layout import accepted, ocr_gate, recognised
 from ..streaming import jobs
-from ..tables import scratch, stored
+from ..tables import scratch, stored, stored_within
 from . import language_id, layout_documents, accessible
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,18 +58,20 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layout(spark: SparkSession, sf_dir: str, keep: bool = False) -> dict[str, DataFrame]:
-    """The layout tables that the formula gives; with `keep` the lines that all come from are stored first, for plans that read many."""
+    """The layout tables that the formula gives; with `keep` what many come from is stored first: lines without their texts, tables, documents."""
     all_lines = lines(spark, sf_dir)
-    if keep:
-        all_lines = stored(all_lines.repartition("doc_id"), scratch(spark), "lines")
+    folder = scratch(spark) if keep else ""
+    kept = lambda df, name: stored_within(df, folder, name) if keep else df
+    places = kept(all_lines.drop("text"), "places")
     spans = all_lines.select(*PAGE, F.col("line_no").alias("block_no"), F.lit(0).alias("line_no"), F.lit(0).alias("span_no"), "text", "size", F.lit(0).alias("style_flags"), "bbox")
-    pages = all_lines.groupBy("doc_id").agg((F.max("page_no") + 1).alias("page_count"))
+    pages = kept(places.groupBy("doc_id").agg((F.max("page_no") + 1).alias("page_count")), "documents")
     each = pages.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("page_count") - 1)).alias("page_no"), "page_count")
     each = each.withColumn("width", F.lit(612.0)).withColumn("height", F.lit(792.0))
-    linked = all_lines.filter(F.col("line_no") % 7 == 3).select(*PAGE, F.col("line_no").alias("link_no"), F.concat(F.lit("u"), F.col("doc_id").cast("string"), F.lit("/"), F.col("line_no").cast("string")).alias("uri"), "bbox")
+    linked = places.filter(F.col("line_no") % 7 == 3).select(*PAGE, F.col("line_no").alias("link_no"), F.concat(F.lit("u"), F.col("doc_id").cast("string"), F.lit("/"), F.col("line_no").cast("string")).alias("uri"), "bbox")
     orphans = each.filter("page_no % 3 = 0").select(*PAGE, F.lit(1_000_000).alias("link_no"), F.lit("orphan").alias("uri"), rect(F.lit(590), F.lit(780), F.lit(600), F.lit(790)).alias("bbox"))
-    grid = all_lines.filter("page_no % 2 = 1 AND line_no % 20 BETWEEN 4 AND 7").groupBy(*PAGE).agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: F.slice(F.split(x["text"], " "), 1, 3)).alias("cells"))
+    grid = all_lines.filter("page_no % 2 = 1 AND line_no % 20 BETWEEN 4 AND 7").groupBy(*PAGE).agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", F.slice(F.split("text", " "), 1, 3).alias("row")))), lambda x: x["row"]).alias("cells"))
     tables = grid.select(*PAGE, F.lit(0).alias("table_no"), rect(F.lit(60), F.lit(190), F.lit(400), F.lit(275)).alias("bbox"), "cells")
+    tables = kept(tables, "tables")
     nothing = F.lit(None)
     sides = F.array(
         F.struct(F.lit(1).alias("xref"), F.lit(200).alias("side")),
@@ -83,7 +85,7 @@ def layout(spark: SparkSession, sf_dir: str, keep: bool = False) -> dict[str, Da
         F.concat(F.lit("i"), F.col("s.xref").cast("string")).cast("binary").alias("data"), F.when(F.col("s.xref") == 1, "png").when(F.col("s.xref") == 2, "jpg").otherwise("svg").alias("ext"),
     )
     meta = pages.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), F.lit("pdf").alias("source_format"), nothing.cast("string").alias("meta_title"), nothing.cast("string").alias("meta_lang"), F.lit(False).alias("needs_pass"), "page_count")
-    return {"pages": each, "spans": spans, "blocks_raw": spans.select(*PAGE, "block_no", "bbox"), "links_raw": linked.unionByName(orphans), "tables_raw": tables, "images_raw": images, "doc_meta": meta}
+    return {"pages": each, "spans": spans, "blocks_raw": places.select(*PAGE, F.col("line_no").alias("block_no"), "bbox"), "links_raw": linked.unionByName(orphans), "tables_raw": tables, "images_raw": images, "doc_meta": meta}
 
 
 def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lucidoc.operators import headings as hd
 from lucidoc.operators import layout as ly
 from lucidoc.operators import links as lk
-from lucidoc.plans import layout_documents, accessible
+from lucidoc import tables
+from lucidoc.functions import text as tx
+from lucidoc.plans import catalogue, layout_documents, accessible
 from lucidoc.sinks import write_files
 from lucidoc.sources.docx import dispatched, docx_documents
 from lucidoc.sources.docx_writer import docx_bytes, paragraph
@@ -267,6 +269,31 @@ def test_recognition_by_an_outside_program(spark, tmp_path):
     assert "can't run" in missing.error
 
 
+def test_layout_plans_stay_small(spark, tmp_path):
+    """The driver holds a plan once for each of its stages; before, the report's last one had 50 exchanges."""
+    t = catalogue.layout(spark, "/root/testdata/sf0.001", keep=True)
+    found = layout_documents.LayoutDocuments(t)
+    result = accessible.from_layout(found, spark.createDataFrame([], NOT_DETECTED))
+    for df in (found.blocks, found.document_flags, found.block_flags, result.items):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 30
+
+
+def test_tables_of_documents_keep_settings_and_drop_shuffles(spark, tmp_path):
+    key = next(iter(tables.WITHIN))
+    before = spark.conf.get(key)
+    rows = spark.range(100).withColumn("page", F.col("id") % 7).repartition("id")
+    other = spark.range(100).withColumn("page", F.col("id") % 7)
+    out = tables.stored_within(rows.join(other, ["id", "page"]), str(tmp_path), "joined")
+    assert out.count() == 100 and spark.conf.get(key) == before
+
+
+@pytest.mark.parametrize("text", ["• a", " \x1f• a ", "• ", "•\u2003\x1c", "•  \x1f x", "12) d", "\u00a01. \n c", "1. ", "1.\x1cx", "1. \x1cx", "", " ", "x • a", "a\n• b"])
+def test_list_prefixes_are_those_of_the_stripped_text(spark, text):
+    bare = F.regexp_replace("t", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    row = spark.createDataFrame([(text,)], "t string").select(tx.strip(F.col("t")) == bare, tx.is_bullet(F.col("t")) == bare.rlike(tx.BULLET), tx.is_numbered(F.col("t")) == bare.rlike(tx.NUMBERED)).first()
+    assert all(row)
+
+
 def test_entities_that_a_title_was_cut_in_stay(spark):
     cases = {"A &amp; B &amp": "A & B &amp", "&lt;i&gt; &copy": "<i> &copy", "&amp;lt; &eacute;&#39;&#x27; &nosuch;": "&lt; é'' &nosuch;", "&": "&", "": None}
     pages = spark.createDataFrame([(k, f"<title>{t}</title>") for k, t in enumerate(cases)], "doc_id long, html string")
