@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -134,14 +135,14 @@ def mime_flags(blocks: DataFrame) -> DataFrame:
     return found.select("doc_id", "block_ord", F.lit(1).alias("flag_ord"), F.lit("IMAGE_UNKNOWN_MIME_TYPE").alias("code"), F.lit("1.1.1").alias("wcag_sc"), F.lit("The image's type is unknown, so it could not be shown.").alias("message"), F.lit(None).cast("string").alias("location"))
 
 
-def rebuilt(docs: DataFrame, blocks: DataFrame, of_documents: DataFrame, of_blocks: DataFrame) -> AccessibleDocuments:
-    """Repairs, HTML and report of documents (doc_id, title, lang) from their blocks and flags."""
+def rebuilt(docs: DataFrame, blocks: DataFrame, of_documents: DataFrame, of_blocks: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> AccessibleDocuments:
+    """Repairs, HTML and report of documents (doc_id, title, lang) from their blocks and flags; `keep` may store what several of these read."""
     found = blocks.filter("kind = 'heading'").select("doc_id", F.col("block_ord").alias("ord"), "level", run_text(F.col("runs")).alias("text"))
-    repaired = hd.repaired_levels(hd.with_title(found, docs.select("doc_id", "title")))
+    repaired = keep(hd.repaired_levels(hd.with_title(found, docs.select("doc_id", "title"))), "headings")
     fixes = hd.heading_fixes(repaired).unionByName(table_fixes(blocks))
     links = lk.inventory(blocks.withColumn("image", F.struct(F.col("image_href").alias("link_href"))))
-    flags = report.all_flags(of_documents, of_blocks.select(*FLAG_COLUMNS).unionByName(mime_flags(blocks)).unionByName(report.generic_link_flags(links).select(*FLAG_COLUMNS)))
-    its = report.items(flags, fixes)
+    flags = keep(report.all_flags(of_documents, of_blocks.select(*FLAG_COLUMNS).unionByName(mime_flags(blocks)).unionByName(report.generic_link_flags(links).select(*FLAG_COLUMNS))), "flags")
+    its = keep(report.items(flags, fixes), "items")
     levels = repaired.select("doc_id", F.col("ord").alias("block_ord"), "level_final")
     parts = render.blocks_html(blocks.join(levels, ["doc_id", "block_ord"], "left")).select("doc_id", "block_ord", "html")
     made = repaired.filter("synthetic").select("doc_id", F.col("ord").alias("block_ord"), F.concat(F.lit("<h"), F.col("level_final").cast("string"), F.lit(">"), render.escaped(F.col("text")), F.lit("</h"), F.col("level_final").cast("string"), F.lit(">")).alias("html"))
@@ -163,8 +164,8 @@ def from_markup(meta: DataFrame, blocks: DataFrame, detected: DataFrame, images:
 
 
 def from_layout(found, detected: DataFrame) -> AccessibleDocuments:
-    """Documents of a LayoutDocuments; titles and languages are stored, as flags, headings and HTML read them."""
+    """Documents of a LayoutDocuments; titles, languages, headings, flags and items are stored, so that what is left to the caller is a small plan."""
     title = found.keep(titles(found.docs, found.blocks, layout=True), "titles")
     lang = found.keep(languages(found.docs, plain_texts(found.blocks), detected), "languages")
     docs = title.select("doc_id", "title").join(lang.select("doc_id", "lang"), "doc_id")
-    return rebuilt(docs, found.blocks, document_flags(lang, title, found.document_flags), found.block_flags)
+    return rebuilt(docs, found.blocks, document_flags(lang, title, found.document_flags), found.block_flags, found.keep)

@@ -10,8 +10,14 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINTS = "spark.checkpoint.dir"
-#: Joins may keep rows in the partitions of a part of their key, and shuffle files go as soon as the table is written.
-WITHIN = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Joins may keep rows in the partitions of a part of their key, shuffle files go as soon as the table is written, and nothing is sent
+#: to the driver and broadcast because its files look small: packed ids and rows yet to be exploded are many times as large there.
+WITHIN = {
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
 
 
 def scratch(spark: SparkSession) -> str:
@@ -50,7 +56,8 @@ def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
 
 
 def stored_within(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """As stored(), for plans whose steps stay in a document: rows dealt out by it, with repartition(), aren't dealt anew for its pages, blocks and lines."""
+    """As stored(), for plans whose steps stay in a document: rows dealt out by it, with repartition(), aren't dealt anew for its pages, blocks and lines.
+    Only what has a hint is broadcast."""
     with _set(df.sparkSession, WITHIN):
         return stored(df, folder, name)
 

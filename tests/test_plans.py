@@ -301,6 +301,30 @@ def test_layout_plans_stay_small(spark, tmp_path):
         assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 30
 
 
+def test_what_a_layout_report_leaves_to_its_caller_is_small(spark):
+    """Headings, flags and items are stored; before, the caller's plan of the items joined and numbered all flags and blocks, outside the settings."""
+    found = layout_documents.LayoutDocuments(catalogue.layout(spark, "/root/testdata/sf0.001", keep=True))
+    result = accessible.from_layout(found, spark.createDataFrame([], NOT_DETECTED))
+    for df in (result.headings, result.flags, result.items):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan and "Window" not in plan
+
+
+def test_tables_of_documents_broadcast_nothing_by_its_size(spark, tmp_path, monkeypatch):
+    plans = []
+
+    def stored(df, folder, name):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(tables, "stored", stored)
+    docs = spark.range(50).withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    tables.stored_within(docs.join(docs.groupBy("id", "page").count(), ["id", "page"]), str(tmp_path), "pages")
+    tables.stored_within(docs.join(F.broadcast(spark.range(3)), "id"), str(tmp_path), "hinted")
+    assert "Broadcast" not in plans[0] and "BroadcastHashJoin" in plans[1]
+
+
 def test_tables_of_documents_keep_settings_and_drop_shuffles(spark, tmp_path):
     key = next(iter(tables.WITHIN))
     before = spark.conf.get(key)
