@@ -17,6 +17,9 @@ WITHIN = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    # What listeners are told of a plan, in full each time a stage of it ends, is half a megabyte for the largest.
+    "spark.sql.ui.explainMode": "simple",
+    "spark.sql.maxPlanStringLength": "20000",
 }
 
 
@@ -57,9 +60,11 @@ def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
 
 def stored_within(df: DataFrame, folder: str, name: str) -> DataFrame:
     """As stored(), for plans whose steps stay in a document: rows dealt out by it, with repartition(), aren't dealt anew for its pages, blocks and lines.
-    Only what has a hint is broadcast."""
+    Only what has a hint is broadcast, and the driver's heap shrinks to what is in use afterwards."""
     with _set(df.sparkSession, WITHIN):
-        return stored(df, folder, name)
+        out = stored(df, folder, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lucidoc.operators import headings as hd
@@ -334,6 +335,17 @@ def test_tables_of_documents_keep_settings_and_drop_shuffles(spark, tmp_path):
     assert out.count() == 100 and spark.conf.get(key) == before
 
 
+def test_tables_of_documents_tell_listeners_little_of_their_plans(spark, tmp_path, monkeypatch):
+    """Plans of tables are told again each time one of their stages ends; the largest was half a megabyte."""
+    told = []
+    monkeypatch.setattr(tables, "stored", lambda df, folder, name: told.append(len(df._jdf.queryExecution().executedPlan().toString())))
+    rows = spark.range(10).select(*[F.sum(F.col("id") + i).over(Window.partitionBy("id")).alias(f"a_long_name_of_column_{i}") for i in range(400)])
+    with monkeypatch.context() as m:
+        m.setattr(tables, "WITHIN", {"spark.sql.debug.maxToStringFields": "10000", **tables.WITHIN})
+        tables.stored_within(rows, str(tmp_path), "wide")
+    assert told[0] <= 21_000
+
+
 @pytest.mark.parametrize("text", ["• a", " \x1f• a ", "• ", "•\u2003\x1c", "•  \x1f x", "12) d", "\u00a01. \n c", "1. ", "1.\x1cx", "1. \x1cx", "", " ", "x • a", "a\n• b"])
 def test_list_prefixes_are_those_of_the_stripped_text(spark, text):
     bare = F.regexp_replace("t", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
